@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, lm, pii, quality_gbt, simhash, substring_dedup, url_filter
+from loomgraph.llm import bpe, decontam, lm, pii, quality_gbt, simhash, substring_dedup, url_filter
 from loomgraph.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -17,6 +17,10 @@ BPE_FILE = "byte_bpe_50k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -52,4 +56,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filter.oracle()}
+    return {"op1_decontamination": decontam.oracle(), "op2_url_filters": url_filter.oracle()}
