@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, decontam, lm, pii, quality_gbt, simhash, substring_dedup, url_filter
+from loomgraph.llm import bpe, decontam, lm, pii, quality_gbt, simhash, substring_dedup, token_rollup, url_filter
 from loomgraph.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -50,10 +50,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.documents_history(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontam.oracle(), "op2_url_filters": url_filter.oracle()}
+    return {"op1_decontamination": decontam.oracle(), "op2_url_filters": url_filter.oracle(), "op10_token_counts": token_rollup.oracle()}
