@@ -204,13 +204,18 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids: the encoding itself."""
+    """doc_id, n_tokens, ids: the encoding itself."""
 
     def make() -> Any:
         tokenizer = load(path)
-        return lambda columns: {"doc_id": columns["doc_id"], "ids": tokenizer.encode_batch([t or "" for t in columns["text"]])}
 
-    return map_text(docs.select("doc_id", "text"), "doc_id long, ids array<int>", make)
+        def apply(columns: dict[str, list]) -> dict[str, Any]:
+            ids = tokenizer.encode_batch([t or "" for t in columns["text"]])
+            return {"doc_id": columns["doc_id"], "n_tokens": list(map(len, ids)), "ids": ids}
+
+        return apply
+
+    return map_text(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids array<int>", make)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

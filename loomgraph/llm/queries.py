@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, decontam, lm, pii, quality_gbt, simhash, substring_dedup, token_rollup, url_filter
+from loomgraph.llm import bpe, decontam, lm, pii, quality_crf, quality_gbt, simhash, substring_dedup, token_rollup, url_filter
 from loomgraph.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -25,6 +25,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.classify(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_gbt.judge(docs, quality_gbt.train(docs, table(spark, sf_dir, "labels")))
