@@ -99,7 +99,7 @@ s AS (SELECT {KEY}, 0::BIGINT AS i, 1.0::DOUBLE AS factor, 0 AS clean, 0 AS dirt
 SELECT {KEY}, round(factor, 6) AS factor, clean, dirty FROM s QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY i DESC) = 1"""
 query("t05_adaptation", FOLD)(lambda t: stats.adaptation(t.linter_executions).withColumn("factor", F.round("factor", 6)))
 query("t06_record_is_idempotent", "SELECT count(*) AS runs FROM linter_executions")(lambda t: stats.record(t.linter_executions, t.linter_executions.where("linter_name = 'error'")).agg(F.count("*").alias("runs")))
-query("t07_should_skip", f"SELECT {KEY}, max(executed_at) AS last_run, 90000.0 AS debounce_s, date_diff('second', max(executed_at), TIMESTAMP '2024-01-31') < 90000 AS skip FROM linter_executions GROUP BY ALL")(lambda t: stats.should_skip(t.linter_executions, now(), 90000.0))
+query("t07_should_skip", f"SELECT {KEY}, max(executed_at) AS last_run, 90000.0::DOUBLE AS debounce_s, date_diff('second', max(executed_at), TIMESTAMP '2024-01-31') < 90000 AS skip FROM linter_executions GROUP BY ALL")(lambda t: stats.should_skip(t.linter_executions, now(), 90000.0))
 query("x14_category", f"SELECT {KEY}, CASE WHEN avg(duration_ms) < 1000 THEN 'Fast' WHEN avg(duration_ms) < 5000 THEN 'Medium' WHEN avg(duration_ms) < 15000 THEN 'Slow' ELSE 'Very Slow' END AS category FROM linter_executions GROUP BY ALL")(
     lambda t: stats.summary(t.linter_executions).select(*stats.KEY, stats.category(F.col("avg_ms")).alias("category"))
 )

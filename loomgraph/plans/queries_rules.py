@@ -53,9 +53,9 @@ query("r01_rule_set", " UNION ALL ".join(f"SELECT {i} AS rule_seq, {j} AS statem
 YAML = """rules:
 - name: r
   statements:
-  - {type: LIMIT, condition: {pattern: {type: "*Controller*", file_path: "/work/pkg1*/**"}, property: cyclomatic, operator: ">", value: 10}}
+  - {type: LIMIT, condition: {pattern: {type: "*Controller*", file_path: "/work/pkg4*/**"}, property: cyclomatic, operator: ">", value: 10}}
 """
-query("r12_yaml_rules_with_glob", f"SELECT 0 AS rule_seq, 0 AS statement_seq, 'r' AS rule, x.* FROM ({LIMIT} AND regexp_matches(file_path, '^/work/pkg1[^/]*/.*$')) x")(lambda t: _rules(t, YAML))
+query("r12_yaml_rules_with_glob", f"SELECT 0 AS rule_seq, 0 AS statement_seq, 'r' AS rule, x.* FROM ({LIMIT} AND regexp_matches(file_path, '^/work/pkg4[^/]*/.*$')) x")(lambda t: _rules(t, YAML))
 query("r14_configured_rules", f"SELECT 0 AS rule_seq, 0 AS statement_seq, 'r' AS rule, x.* FROM ({LIMIT}) x UNION ALL SELECT 0, 0, '', 'aql', '', 1, '', '', 1, 'rule error: expected a statement, found ELSE'")(
     lambda t: rule_engine.run_configured(t.ast_nodes, t.ast_relationships, ['RULE "r" { LIMIT(*Controller*.cyclomatic > 10) }', 'RULE "bad" { ELSE(*) }'])
 )

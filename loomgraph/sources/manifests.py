@@ -29,7 +29,7 @@ def _file(path: str) -> str:
 def go_mod(texts: DataFrame) -> DataFrame:
     """Required modules with replace directives applied."""
     line = F.posexplode(F.split("text", "\n")).alias("line", "raw")
-    rows = texts.select("file_path", line).withColumn("s", F.trim(F.regexp_replace("raw", r"^\s*(require|replace)\s+(?!\()", "")))
+    rows = texts.select("file_path", line).withColumn("s", F.trim(F.regexp_replace("raw", r"^\s*((require|replace)\s+(?!\())?", "")))
     arrow = rows.where(F.col("s").contains("=>")).select(
         "file_path", F.regexp_extract("s", r"^(\S+)", 1).alias("name"), F.regexp_extract("s", r"=>\s*(\S+)", 1).alias("to"), F.regexp_extract("s", r"=>\s*\S+\s+(v\S+)", 1).alias("to_version")
     )
