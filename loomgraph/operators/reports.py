@@ -66,7 +66,7 @@ def by_file(violations: DataFrame) -> DataFrame:
     return violations.groupBy("file_path").agg(F.count("*").alias("n"), F.count_distinct("rule").alias("rules"))
 
 
-def by_source(violations: DataFrame, default: str = "arch-unit") -> DataFrame:
+def by_source(violations: DataFrame, default: str = "import-rules") -> DataFrame:
     return violations.groupBy(F.coalesce(F.nullif("source", F.lit("")), F.lit(default)).alias("source")).agg(F.count("*").alias("n"))
 
 
@@ -90,8 +90,8 @@ def fixable(violations: DataFrame) -> DataFrame:
 
 
 def consolidated(violations: DataFrame) -> DataFrame:
-    origin = F.coalesce(F.nullif("source", F.lit("")), F.lit("arch-unit"))
-    return violations.agg(F.count_distinct("file_path").alias("files"), F.count_distinct("rule").alias("rules"), F.count_distinct(origin).alias("linters"), F.count_if(origin == "arch-unit").alias("own"), F.count_if(origin != "arch-unit").alias("external"))
+    origin = F.coalesce(F.nullif("source", F.lit("")), F.lit("import-rules"))
+    return violations.agg(F.count_distinct("file_path").alias("files"), F.count_distinct("rule").alias("rules"), F.count_distinct(origin).alias("linters"), F.count_if(origin == "import-rules").alias("own"), F.count_if(origin != "import-rules").alias("external"))
 
 
 def as_json(violations: DataFrame) -> DataFrame:

@@ -43,9 +43,9 @@ query("s46_template", "SELECT id, concat(package_name, '/', type_name, ' @', sta
 query("j15_hierarchy", "SELECT parent_id, CAST(count(*) AS INT) AS n_children, string_agg(id::VARCHAR, ',' ORDER BY start_line, id) AS children FROM ast_nodes WHERE parent_id IS NOT NULL GROUP BY 1")(lambda t: reports.hierarchy(t.ast_nodes))
 
 # ---- violation reports
-query("a13_consolidated", "SELECT count(DISTINCT file_path) AS files, count(DISTINCT rule) AS rules, count(DISTINCT coalesce(nullif(source, ''), 'arch-unit')) AS linters, count(*) FILTER (source = '') AS own, count(*) FILTER (source <> '') AS external FROM violations")(lambda t: reports.consolidated(t.violations))
+query("a13_consolidated", "SELECT count(DISTINCT file_path) AS files, count(DISTINCT rule) AS rules, count(DISTINCT coalesce(nullif(source, ''), 'import-rules')) AS linters, count(*) FILTER (source = '') AS own, count(*) FILTER (source <> '') AS external FROM violations")(lambda t: reports.consolidated(t.violations))
 query("a14_by_file", "SELECT file_path, count(*) AS n, count(DISTINCT rule) AS rules FROM violations GROUP BY 1")(lambda t: reports.by_file(t.violations))
-query("a15_by_source", "SELECT coalesce(nullif(source, ''), 'arch-unit') AS source, count(*) AS n FROM violations GROUP BY 1")(lambda t: reports.by_source(t.violations))
+query("a15_by_source", "SELECT coalesce(nullif(source, ''), 'import-rules') AS source, count(*) AS n FROM violations GROUP BY 1")(lambda t: reports.by_source(t.violations))
 query("a16_tree", "SELECT folder, CAST(sum(n) AS BIGINT) AS n, count(*) AS files FROM (SELECT n, unnest(list_transform(range(1, len(p)), lambda k: array_to_string(p[1:k], '/'))) AS folder FROM (SELECT string_split(file_path, '/') AS p, count(*) AS n FROM violations GROUP BY file_path)) GROUP BY 1")(lambda t: reports.tree(t.violations))
 query("a17_compact", "SELECT file_path, string_agg(concat(rule, '×', n), ', ' ORDER BY concat(rule, '×', n)) AS rules FROM (SELECT file_path, rule, count(*) AS n FROM violations GROUP BY ALL) GROUP BY 1")(lambda t: reports.compact(t.violations))
 query("a18_fixable", "SELECT count(*) AS total, count(*) FILTER (fixable) AS fixable, count(*) FILTER (fixable AND fix_applicability = 'unsafe') AS unsafe FROM violations")(lambda t: reports.fixable(t.violations))
