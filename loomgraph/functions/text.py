@@ -77,20 +77,11 @@ def rule_to_import(kind: Column, pattern: Column) -> Column:
 
 def first_json(text: str) -> str:
     """The first balanced {...} of a text, quotes respected; empty if there is none."""
-    start = text.find("{")
-    depth, quoted, i = 0, False, start
-    while 0 <= i < len(text):
-        c = text[i]
-        if quoted:
-            i += c == "\\"
-            quoted = c != '"' or text[i] != '"' if c == "\\" else c != '"'
-        elif c == '"':
-            quoted = True
-        else:
-            depth += (c == "{") - (c == "}")
-            if depth == 0:
-                return text[start : i + 1]
-        i += 1
+    start, depth = text.find("{"), 0
+    for m in re.compile(r'"(?:\\.|[^"\\])*"|[{}]', re.S).finditer(text, max(start, 0)):
+        depth += {"{": 1, "}": -1}.get(m.group(), 0)
+        if depth == 0 and m.group() == "}":
+            return text[start : m.end()]
     return ""
 
 

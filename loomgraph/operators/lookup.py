@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,19 @@ def is_stdlib(package: Column) -> Column:
     return ~package.contains("/") | F.split(package, "/")[0].isin(*STDLIB)
 
 
+PYTHON_STDLIB = tuple(sorted(sys.stdlib_module_names))
+NODE_BUILTIN = ("assert", "buffer", "child_process", "crypto", "events", "fs", "http", "https", "net", "os", "path", "process", "querystring", "stream", "url", "util", "zlib")
+
+
+def resolve_module(name: Column, language: str) -> Column:
+    """stdlib, relative or third-party, for the module names of Python, JavaScript and TypeScript."""
+    if language == "python":
+        return F.when(name.startswith("."), "relative").when(F.split(name, r"\.")[0].isin(*PYTHON_STDLIB), "stdlib").otherwise("third-party")
+    bare = F.regexp_replace(name, "^node:", "")
+    out = F.when(name.rlike(r"^\.{0,2}/"), "relative").when(F.split(bare, "/")[0].isin(*NODE_BUILTIN), "stdlib")
+    return (out.when(name.startswith("@types/"), "types") if language == "typescript" else out).otherwise("third-party")
+
+
 def resolve_library(packages: DataFrame, known: DataFrame) -> DataFrame:
     """package -> framework: the exact entry, else stdlib, else the longest known prefix, else unknown.
     A package's own path prefixes are joined by equality, so no prefix join is needed."""
