@@ -35,6 +35,8 @@ from loomgraph.llm.common import map_text, materialize
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 CELL = 20_000
+#: Shingles of a text that are hashed at a time.
+STEP = 1 << 14
 #: The vantage point: any fixed fingerprint serves.
 VANTAGE = 0x5A3C96E1B47D28F0
 #: Distinct fingerprints up to which a half has so many blocks.
@@ -48,15 +50,15 @@ def fingerprint(text: str | None) -> int:
     line = b" ".join(words)
     if len(words) > SHINGLE:
         ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate([[0], ends[: -SHINGLE]]).tolist()
-        parts = [line[a:b] for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())]
+        starts, ends = np.concatenate([[0], ends[:-SHINGLE]]), ends[SHINGLE - 1 :] - 1
     else:
-        parts = [line]
-    n = len(parts)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n)
+        starts, ends = np.array([0]), np.array([len(line)])
+    n = len(starts)
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 14):
-        bits = np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for i in range(0, n, STEP):  # few shingles as objects at a time, however long the text
+        parts = [line[a:b] for a, b in zip(starts[i : i + STEP].tolist(), ends[i : i + STEP].tolist())]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts))
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
