@@ -37,6 +37,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 CELL = 20_000
 #: Shingles of a text that are hashed at a time.
 STEP = 1 << 14
+#: Placed fingerprints per task of the comparison, whose time goes by cells rather than bytes.
+PER_TASK = 50_000
 #: The vantage point: any fixed fingerprint serves.
 VANTAGE = 0x5A3C96E1B47D28F0
 #: Distinct fingerprints up to which a half has so many blocks.
@@ -80,9 +82,14 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def blocks_of(n: int) -> int:
+    """How many blocks a half has for n distinct fingerprints."""
+    return next(b for most, b in BLOCKS if n <= most)
+
+
 def placed(classes: DataFrame, n: int) -> DataFrame:
     """fp, n, tree, shard, home: every fingerprint at its own shard and at those that it visits."""
-    blocks = next(b for most, b in BLOCKS if n <= most)
+    blocks = blocks_of(n)
     bits = 32 // blocks
     rows = []
     for tree in (0, 1):
@@ -169,12 +176,14 @@ def link(docs: DataFrame, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """The documents' fingerprints, and per fingerprint: fp, n, n_near (of other fingerprints), component."""
     prints = materialize(fingerprints(docs), "prints")
     classes = materialize(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "classes")
-    rows = cells(placed(classes, classes.count()), cell)
+    n = classes.count()
+    rows = cells(placed(classes, n), cell)
+    tasks = max(1, 2 * (1 + blocks_of(n)) * n // PER_TASK)
 
     def run(table: pa.Table) -> pa.Table:
         return pa.table(compare(table))
 
-    found = materialize(rows.groupBy("tree", "shard", "a", "b").applyInArrow(run, "fp long, n_near long, root long"), "links")
+    found = materialize(rows.repartition(tasks, "tree", "shard", "a", "b").groupBy("tree", "shard", "a", "b").applyInArrow(run, "fp long, n_near long, root long"), "links")
     roots = stars(found.where("root < fp").select(F.col("fp").alias("u"), F.col("root").alias("v")))
     near = found.groupBy("fp").agg(F.sum("n_near").alias("n_near"))
     linked = classes.join(near, "fp", "left").join(roots.select(F.col("u").alias("fp"), F.col("v").alias("component")), "fp", "left")
