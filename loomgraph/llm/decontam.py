@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import materialize
+
 #: Selected positions are ones.
 MASKS = ("111101111", "11101110111", "11011011011")
 OVERLAP, MISMATCHES = 13, 3
@@ -130,8 +132,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that overlap with no item."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    """The rows of docs that overlap with no item. What overlaps is written out first: with its size
+    known, the texts are shuffled only if it is too large for Spark to broadcast."""
+    bad = materialize(overlaps(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "overlaps")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
 
 
