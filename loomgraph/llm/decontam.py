@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import materialize
 
 #: Selected positions are ones.
-MASKS = ("111101111", "11101110111", "11011011011")
+MASKS = ("1110111", "11011011", "1011101101")
 OVERLAP, MISMATCHES = 13, 3
 SPLIT = r"[^\p{L}\p{N}]+"
 #: 64-bit words of the Bloom filter: 2**17 of them are 1 MB.
