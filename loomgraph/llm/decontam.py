@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import materialize
 
-#: Selected positions are ones.
-MASKS = ("1110111", "11011011", "1011101101")
+#: Selected positions are ones. Any MISMATCHES positions of OVERLAP leave one mask clean somewhere,
+#: so every overlap of OVERLAP tokens yields a seed.
+MASKS = ("11010011", "111101", "1100010011")
 OVERLAP, MISMATCHES = 13, 3
 SPLIT = r"[^\p{L}\p{N}]+"
 #: 64-bit words of the Bloom filter: 2**17 of them are 1 MB.
