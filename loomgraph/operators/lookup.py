@@ -7,6 +7,8 @@ import sys
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.nodes import full_name
+
 #: Lines of a bucket of the range join.
 BUCKET = 64
 STDLIB = ("fmt", "os", "net", "io", "strings", "strconv", "encoding", "database", "time", "sync", "context", "errors", "math", "sort", "bytes", "bufio", "regexp", "path", "log", "testing", "reflect", "crypto", "html", "text", "unicode", "archive", "compress")
@@ -75,6 +77,20 @@ def resolve_library(packages: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("package", F.when(exact, F.col("k.framework")).when(is_stdlib(F.col("package")), "stdlib").when(F.col("k.framework").isNotNull(), F.col("k.framework")).otherwise("unknown").alias("framework"))
 
 
+def resolve_by_name(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """asked with node_id: the node whose full name is `called`, else one whose full name ends in
+    `.called`, the least id of several, else null; null and empty names stay unresolved. The suffix
+    is an equality join on the last segment that only names left over by the first join enter."""
+    last = lambda c: F.element_at(F.split(c, r"\."), -1)
+    named = nodes.select("id", full_name().alias("name")).where("name <> ''").groupBy("name").agg(F.min("id").alias("node_id"))
+    names = asked.select("called").where("called <> ''").distinct()
+    exact = names.join(named, F.col("called") == F.col("name")).select("called", "node_id")
+    left = names.join(exact, "called", "left_anti").withColumn("segment", last(F.col("called")))
+    met = left.join(named.withColumn("segment", last(F.col("name"))), "segment").where(F.endswith("name", F.concat(F.lit("."), "called")))
+    found = exact.union(met.groupBy("called").agg(F.min("node_id").alias("node_id")))
+    return asked.join(found, "called", "left")
+
+
 def first_by_key(nodes: DataFrame, key: list[str]) -> DataFrame:
     """Of repeated keys the row of least id."""
     w = Window.partitionBy(*key).orderBy("id")

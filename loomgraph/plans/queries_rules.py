@@ -169,6 +169,22 @@ query("j12_edges_of_node", "SELECT id, line_no FROM ast_relationships WHERE from
 query("j14_resolve_by_name", f"SELECT v.id, min(n.id) AS node_id FROM violations v JOIN (SELECT id, {NAME} AS name FROM ast_nodes) n ON n.id = v.called_id GROUP BY 1")(
     lambda t: t.violations.join(t.ast_nodes.select(F.col("id").alias("called_id"), N.full_name().alias("name")), "called_id").groupBy("id").agg(F.min("called_id").alias("node_id"))
 )
+ASKED = f"SELECT v.id, CASE v.id % 5 WHEN 0 THEN name WHEN 1 THEN regexp_extract(name, '[^.]+$') WHEN 2 THEN regexp_extract(name, '[^.]+[.][^.]+$') ELSE concat('gone.', name) END AS called FROM violations v JOIN (SELECT id, {NAME} AS name FROM ast_nodes) n ON n.id = v.called_id"
+query(
+    "j14_resolve_called_names",
+    f"""WITH n AS (SELECT id, {NAME} AS name FROM ast_nodes), asked AS ({ASKED}), names AS (SELECT DISTINCT called FROM asked WHERE called <> ''),
+e AS (SELECT called, min(n.id) AS node_id FROM names JOIN n ON name = called GROUP BY 1), s AS (SELECT called, min(n.id) AS node_id FROM names JOIN n ON ends_with(name, '.' || called) GROUP BY 1)
+SELECT asked.id, asked.called, coalesce(e.node_id, s.node_id) AS node_id FROM asked LEFT JOIN e ON e.called = asked.called LEFT JOIN s ON s.called = asked.called""",
+)(lambda t: lookup.resolve_by_name(_asked(t), t.ast_nodes).select("id", "called", "node_id"))
+
+
+def _asked(t):
+    """Called names as extractors leave them: in full, their last one or two segments, or of no node."""
+    name, turn = F.col("name"), F.col("id") % 5
+    called = F.when(turn == 0, name).when(turn == 1, F.regexp_extract(name, "[^.]+$", 0)).when(turn == 2, F.regexp_extract(name, "[^.]+[.][^.]+$", 0)).otherwise(F.concat(F.lit("gone."), name))
+    return t.violations.join(t.ast_nodes.select(F.col("id").alias("called_id"), N.full_name().alias("name")), "called_id").select("id", called.alias("called"))
+
+
 query("j19_references", "SELECT from_ast_id AS id, 'reference' AS what FROM ast_relationships WHERE to_ast_id = 5 UNION ALL SELECT id, 'definition' FROM ast_nodes WHERE id = 5")(
     lambda t: t.ast_relationships.where("to_ast_id = 5").select(F.col("from_ast_id").alias("id"), F.lit("reference").alias("what")).unionByName(t.ast_nodes.where("id = 5").select("id", F.lit("definition").alias("what")))
 )
