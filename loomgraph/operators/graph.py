@@ -63,11 +63,19 @@ def call_paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return out
 
 
-def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lines of a DOT rendering: nodes, then edges, each as text."""
+def dot_lines(nodes: DataFrame, edges: DataFrame, library_edges: DataFrame | None = None, library_nodes: DataFrame | None = None) -> DataFrame:
+    """Lines of a DOT rendering: nodes, then edges, each as text; with the library tables also each
+    library that the nodes use, once by its full name under its least id, and the edges to them."""
     points = nodes.select(F.lit(0).alias("part"), "id", F.format_string('  n%d [label="%s"];', F.col("id"), full_name()).alias("line"))
     arrows = induced(edges, nodes).select(F.lit(1).alias("part"), "id", F.format_string("  n%d -> n%d;", F.col("from_ast_id"), F.col("to_ast_id")).alias("line"))
-    return points.union(arrows)
+    if library_edges is None or library_nodes is None:
+        return points.union(arrows)
+    name = F.concat_ws(".", *[F.nullif(F.col(c), F.lit("")) for c in ("package", "class", "method", "field")])
+    used = library_edges.select("id", "ast_id", "library_id").join(nodes.select(F.col("id").alias("ast_id")).distinct(), "ast_id", "left_semi").join(library_nodes.select(F.col("id").alias("library_id"), name.alias("name")), "library_id")
+    label = F.replace(F.col("name"), F.lit('"'), F.lit('\\"'))
+    boxes = used.groupBy("name").agg(F.min("library_id").alias("id")).select(F.lit(2).alias("part"), "id", F.format_string('  "lib_%s" [label="%s", style="filled,rounded", fillcolor=lightblue];', "name", label).alias("line"))
+    calls = used.select(F.lit(3).alias("part"), "id", F.format_string('  n%d -> "lib_%s";', "ast_id", "name").alias("line"))
+    return points.union(arrows).union(boxes).union(calls)
 
 
 def counts(nodes: DataFrame, edges: DataFrame, library_edges: DataFrame) -> DataFrame:

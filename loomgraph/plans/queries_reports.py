@@ -170,6 +170,12 @@ query("g05_call_paths", "WITH RECURSIVE l AS (SELECT DISTINCT from_ast_id AS a,
     lambda t: graph.call_paths(t.ast_relationships, t.spark.range(1, 2), 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth", "circular")
 )
 query("g06_dot", f"{M} SELECT 0 AS part, id, concat('  n', id, ' [label=\"', {NAME}, '\"];') AS line FROM m UNION ALL SELECT 1, id, concat('  n', from_ast_id, ' -> n', to_ast_id, ';') FROM ({INDUCED}) x")(lambda t: graph.dot_lines(_m(t), t.ast_relationships))
+LIBRARY = "concat_ws('.', nullif(l.package, ''), nullif(l.class, ''), nullif(l.method, ''), nullif(l.field, ''))"
+USED = "FROM library_relationships r JOIN library_nodes l ON l.id = r.library_id WHERE r.ast_id IN (SELECT id FROM m)"
+query("g06_dot_libraries", f"""{M} SELECT 0 AS part, id, concat('  n', id, ' [label="', {NAME}, '"];') AS line FROM m UNION ALL SELECT 1, id, concat('  n', from_ast_id, ' -> n', to_ast_id, ';') FROM ({INDUCED}) x
+UNION ALL SELECT 2, min(l.id), concat('  "lib_', {LIBRARY}, '" [label="', {LIBRARY}, '", style="filled,rounded", fillcolor=lightblue];') {USED} GROUP BY {LIBRARY} UNION ALL SELECT 3, r.id, concat('  n', r.ast_id, ' -> "lib_', {LIBRARY}, '";') {USED}""")(
+    lambda t: graph.dot_lines(_m(t), t.ast_relationships, t.library_relationships, t.library_nodes)
+)
 query("g07_graph_counts", f"{M} SELECT 'nodes' AS what, count(*) AS n FROM m UNION ALL SELECT 'edges', count(*) FROM ({INDUCED}) x UNION ALL SELECT 'roots', count(*) FROM m WHERE id NOT IN (SELECT to_ast_id FROM ({INDUCED}) x) UNION ALL SELECT 'libraries', count(DISTINCT library_id) FROM library_relationships WHERE ast_id IN (SELECT id FROM m)")(
     lambda t: graph.counts(_m(t), t.ast_relationships, t.library_relationships)
 )

@@ -1,8 +1,10 @@
-"""Resolution of called names."""
+"""Resolution of called names, and library edges in renderings."""
 
-from loomgraph.operators import lookup
+from loomgraph.operators import graph, lookup
 
 NODES = "id long, file_path string, package_name string, type_name string, method_name string, field_name string"
+LIBRARIES = "id long, package string, class string, method string, field string"
+USES = "id long, ast_id long, library_id long"
 
 
 def test_names_resolve_in_full_else_by_suffix(spark):
@@ -11,3 +13,16 @@ def test_names_resolve_in_full_else_by_suffix(spark):
     asked = spark.createDataFrame([(i, n) for i, n in enumerate([*want, "run"])], "id long, called string")
     got = [(r.called, r.node_id) for r in lookup.resolve_by_name(asked, nodes).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, [*want.items(), ("run", 7)]))
+
+
+def test_dot_has_each_library_once(spark):
+    nodes = spark.createDataFrame([(1, "/a", "p", "A", "f", ""), (2, "/a", "p", "A", "g", "")], NODES)
+    edges = spark.createDataFrame([(1, 1, 2, "call")], "id long, from_ast_id long, to_ast_id long, relationship_type string")
+    libraries = spark.createDataFrame([(5, "fmt", "", "Print", ""), (6, "fmt", "", "Print", ""), (7, 'a"b', "C", "m", "x"), (8, "os", "", "", "")], LIBRARIES)
+    uses = spark.createDataFrame([(1, 1, 6), (2, 2, 5), (3, 2, 7), (4, 3, 8), (5, 1, 99), (6, 1, 6)], USES)
+    got = sorted((r.part, r.id, r.line.strip()) for r in graph.dot_lines(nodes, edges, uses, libraries).where("part > 1").collect())
+    style = 'style="filled,rounded", fillcolor=lightblue];'
+    assert got == [
+        (2, 5, f'"lib_fmt.Print" [label="fmt.Print", {style}'), (2, 7, f'"lib_a"b.C.m.x" [label="a\\"b.C.m.x", {style}'),
+        (3, 1, 'n1 -> "lib_fmt.Print";'), (3, 2, 'n2 -> "lib_fmt.Print";'), (3, 3, 'n2 -> "lib_a"b.C.m.x";'), (3, 6, 'n1 -> "lib_fmt.Print";'),
+    ]
