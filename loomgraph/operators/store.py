@@ -13,6 +13,7 @@ from loomgraph.functions.nodes import NATURAL_KEY
 from loomgraph.functions.patterns import file_glob
 
 BUCKETS = 64
+LIBRARY_KEY = ("package", "class", "method", "field")
 
 
 def needs_analysis(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -36,11 +37,15 @@ def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(files, "file_path", "left_anti").unionByName(merged)
 
 
-def delete_file(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes without a file's, and edges without those that touch it."""
+def delete_file(nodes: DataFrame, edges: DataFrame, path: str, library_edges: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    """Nodes without a file's, edges without those that touch it and, if given, library edges without
+    those from it."""
     gone = nodes.where(F.col("file_path") == path).select("id")
     left = edges.join(gone.select(F.col("id").alias("from_ast_id")), "from_ast_id", "left_anti").join(gone.select(F.col("id").alias("to_ast_id")), "to_ast_id", "left_anti")
-    return nodes.where(F.col("file_path") != path), left
+    kept = nodes.where(~F.col("file_path").eqNullSafe(F.lit(path)))
+    if library_edges is None:
+        return kept, left
+    return kept, left, library_edges.join(gone.select(F.col("id").alias("ast_id")), "ast_id", "left_anti")
 
 
 def replace_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -53,6 +58,20 @@ def replace_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame
     return united.join(gone, "to_ast_id", "left_anti")
 
 
+def merge_libraries(libraries: DataFrame, edges: DataFrame, new_libraries: DataFrame, new_edges: DataFrame, before: DataFrame, after: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Library nodes and edges after re-analysis of the files, whose nodes were `before` and are `after`
+    the merge. New libraries of a known key take its least id, others get one from their key, and none
+    goes; the files' old library edges go, new ones follow their library's id if their node is there."""
+    key = list(LIBRARY_KEY)
+    ids = libraries.groupBy(*key).agg(F.min("id").alias("_known"))
+    placed = new_libraries.join(ids, key, "left").withColumn("_id", F.coalesce("_known", F.xxhash64(*key)))
+    added = placed.where("_known IS NULL").withColumn("id", F.col("_id")).select(libraries.columns).dropDuplicates(["id"])
+    gone = before.join(files.select("file_path").distinct(), "file_path", "left_semi").select(F.col("id").alias("ast_id"))
+    moved = new_edges.join(placed.select(F.col("id").alias("library_id"), "_id"), "library_id").withColumn("library_id", F.col("_id")).select(edges.columns)
+    moved = moved.join(after.select(F.col("id").alias("ast_id")), "ast_id", "left_semi")
+    return libraries.unionByName(added), edges.join(gone, "ast_id", "left_anti").unionByName(moved)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """New rows replace old ones of the same key."""
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)

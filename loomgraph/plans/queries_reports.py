@@ -76,6 +76,15 @@ def _merged(t):
 
 
 query("t03_delete_file", "SELECT id FROM ast_relationships WHERE from_ast_id NOT IN (SELECT id FROM ast_nodes WHERE file_path = '/work/pkg1/x') AND coalesce(to_ast_id NOT IN (SELECT id FROM ast_nodes WHERE package_name = 'none'), true)")(lambda t: store.delete_file(t.ast_nodes, t.ast_relationships, "/work/pkg1/x")[1].select("id"))
+GONE = "(SELECT id FROM ast_nodes WHERE file_path = '/work/pkg1/economy_1.go')"
+query("t03_delete_existing_file", f"SELECT 'node' AS what, id FROM ast_nodes WHERE id NOT IN {GONE} UNION ALL SELECT 'edge', id FROM ast_relationships WHERE from_ast_id NOT IN {GONE} AND coalesce(to_ast_id NOT IN {GONE}, true) UNION ALL SELECT 'library edge', id FROM library_relationships WHERE ast_id NOT IN {GONE}")(lambda t: _without_file(t))
+
+
+def _without_file(t):
+    nodes, edges, uses = (d.select("id") for d in store.delete_file(t.ast_nodes, t.ast_relationships, "/work/pkg1/economy_1.go", t.library_relationships))
+    return nodes.withColumn("what", F.lit("node")).union(edges.withColumn("what", F.lit("edge"))).union(uses.withColumn("what", F.lit("library edge")))
+
+
 query("t10_clear", "SELECT id FROM violations WHERE NOT (stored_at < TIMESTAMP '2024-01-10' AND regexp_matches(file_path, '^/work/pkg1/'))")(lambda t: store.clear(t.violations, F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00'"), "/work/pkg1/**").select("id"))
 query("s42_replace_violations", "SELECT id FROM violations WHERE NOT (source = 'error' AND file_path IN (SELECT file_path FROM violations WHERE line < 20)) UNION ALL SELECT id + 1000000 FROM violations WHERE source = 'error' AND line < 20")(
     lambda t: store.replace_violations(t.violations, t.violations.where("source = 'error' AND line < 20").withColumn("id", F.col("id") + 1000000), t.violations.where("line < 20").select("file_path", F.lit("error").alias("source"))).select("id")

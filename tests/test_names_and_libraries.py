@@ -1,6 +1,6 @@
-"""Resolution of called names, and library edges in renderings."""
+"""Resolution of called names, and library edges in renderings and stores."""
 
-from loomgraph.operators import graph, lookup
+from loomgraph.operators import graph, lookup, store
 
 NODES = "id long, file_path string, package_name string, type_name string, method_name string, field_name string"
 LIBRARIES = "id long, package string, class string, method string, field string"
@@ -26,3 +26,25 @@ def test_dot_has_each_library_once(spark):
         (2, 5, f'"lib_fmt.Print" [label="fmt.Print", {style}'), (2, 7, f'"lib_a"b.C.m.x" [label="a\\"b.C.m.x", {style}'),
         (3, 1, 'n1 -> "lib_fmt.Print";'), (3, 2, 'n2 -> "lib_fmt.Print";'), (3, 3, 'n2 -> "lib_a"b.C.m.x";'), (3, 6, 'n1 -> "lib_fmt.Print";'),
     ]
+
+
+def test_delete_takes_library_edges_along(spark):
+    nodes = spark.createDataFrame([(1, "/a", "p", "A", "f", ""), (2, "/b", "p", "A", "g", ""), (3, None, "p", "", "", "")], NODES)
+    edges = spark.createDataFrame([(1, 1, 2), (2, 2, 2), (3, 2, None), (4, 2, 1)], "id long, from_ast_id long, to_ast_id long")
+    uses = spark.createDataFrame([(1, 1, 6), (2, 2, 5), (3, 3, 5), (4, 1, 5)], USES)
+    left = store.delete_file(nodes, edges, "/a", uses)
+    assert [sorted(r.id for r in d.collect()) for d in left] == [[2, 3], [2, 3], [2, 3]]
+
+
+def test_merge_of_libraries(spark):
+    before = spark.createDataFrame([(1, "/a", "p", "A", "f", ""), (2, "/a", "p", "A", "g", ""), (3, "/b", "p", "B", "h", "")], NODES)
+    after = before.where("id <> 2")
+    libraries = spark.createDataFrame([(5, "fmt", "", "Print", ""), (6, "fmt", "", "Print", ""), (7, "os", "", "Exit", "")], LIBRARIES)
+    uses = spark.createDataFrame([(1, 1, 7), (2, 2, 6), (3, 3, 7)], USES)
+    new_libraries = spark.createDataFrame([(5, "io", "", "Copy", ""), (8, "fmt", "", "Print", ""), (9, "io", "", "Copy", "")], LIBRARIES)
+    new_uses = spark.createDataFrame([(11, 1, 5), (12, 1, 8), (13, 2, 8), (14, 1, 9)], USES)
+    nodes, edges = store.merge_libraries(libraries, uses, new_libraries, new_uses, before, after, before.where("file_path = '/a'"))
+    ids = {(r.package, r.id) for r in nodes.collect()}
+    made = next(i for p, i in ids if p == "io")
+    assert ids == {("fmt", 5), ("fmt", 6), ("os", 7), ("io", made)} and made not in (5, 6, 7, 9) and nodes.count() == 4
+    assert {(r.id, r.ast_id, r.library_id) for r in edges.collect()} == {(3, 3, 7), (11, 1, made), (12, 1, 5), (14, 1, made)} and edges.count() == 4
