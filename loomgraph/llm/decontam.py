@@ -10,7 +10,8 @@ but MISMATCHES of their positions.
 A Bloom filter of the benchmark's hashes, of fixed size whatever the benchmark's, drops the
 documents' other positions before anything is shuffled; the equality join decides. Null and empty
 texts, and items too short for every mask, have no hits. One row per document id and item that
-overlap; repeated rows count as one document with all their hits, null ids as one.
+overlap; repeated rows count as one document with all their hits, null ids as one, null item ids
+as one item.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def bloom(hashes: DataFrame, words: int) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     """doc_id, text_hash, item_id, n_hits, matched, position: verified overlaps by document and item."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item"))
-    index = items.select("item_id", "item", F.explode(seeds(F.col("item"))).alias("s")).select("item_id", "item", F.col("s.mask").alias("mask"), F.col("s.pos").alias("ip"), F.col("s.h").alias("h")).where(F.col("item_id").isNotNull())
+    index = items.select("item_id", "item", F.explode(seeds(F.col("item"))).alias("s")).select("item_id", "item", F.col("s.mask").alias("mask"), F.col("s.pos").alias("ip"), F.col("s.h").alias("h"))
     table = bloom(index.select("h"), words)
 
     def some(bits: Column) -> Callable[[Column], Column]:

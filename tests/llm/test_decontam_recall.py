@@ -28,3 +28,11 @@ def test_every_overlap_within_tolerance_is_found(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(table, benchmark).collect()}
     want = {(d, i) for d, doc in docs.items() for i, item in items.items() if overlaps(doc, item)}
     assert got == want and 0 < len(want) < len(docs)
+
+
+def test_null_item_ids_are_one_item(spark):
+    text = " ".join(TOKENS[:20])
+    docs = spark.createDataFrame([(1, text), (2, " ".join(TOKENS[20:])), (None, text)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, text), (None, " ".join(TOKENS[3:20])), (7, text)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()} == {(1, None), (1, 7), (None, None), (None, 7)}
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, benchmark.where("item_id IS NULL")).collect()] == [2]
