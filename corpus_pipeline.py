@@ -3,7 +3,7 @@
 quality_rules drops documents that the hard rules or the fitted trees reject; simhash keeps one
 document of each near-duplicate group; decontamination drops documents that overlap with a
 benchmark item; pii replaces personal data in the texts; bpe_encoding gives the token ids of what
-is left. Every stage but the last returns the columns of documents; each works
+is left, and the digest of the text that they decode to. Every stage but the last returns the columns of documents; each works
 on all that the one before kept. Null texts have no words, so the first stage drops them.
 """
 
@@ -36,7 +36,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, f"{TOKENIZERS}/{BPE_FILE}")
+    return bpe.encode(docs, f"{TOKENIZERS}/{BPE_FILE}", decoded=True)
 
 
 STAGES = [

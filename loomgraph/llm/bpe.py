@@ -203,19 +203,21 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return map_text(docs.select("doc_id", "text"), SCHEMA, make)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids: the encoding itself."""
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids: the encoding itself; with decoded also decoded_sha256, the digest of the
+    text decoded from the ids."""
 
     def make() -> Any:
         tokenizer = load(path)
 
         def apply(columns: dict[str, list]) -> dict[str, Any]:
             ids = tokenizer.encode_batch([t or "" for t in columns["text"]])
-            return {"doc_id": columns["doc_id"], "n_tokens": list(map(len, ids)), "ids": ids}
+            digests = {"decoded_sha256": [hashlib.sha256(tokenizer.decode(i).encode()).hexdigest() for i in ids]} if decoded else {}
+            return {"doc_id": columns["doc_id"], "n_tokens": list(map(len, ids)), "ids": ids} | digests
 
         return apply
 
-    return map_text(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids array<int>", make)
+    return map_text(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids array<int>" + (", decoded_sha256 string" if decoded else ""), make)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
