@@ -1,11 +1,10 @@
-r"""Substring dedup by relative Lempel-Ziv parsing.
-
-The corpus is cut into reference blocks; a block's index is the sorted fingerprints of all its
-windows of WINDOW consecutive words. Every document is parsed against the indexes of every block,
-its own included: where the window at a position is indexed elsewhere, the greedy factor begins
-there and runs on for as long as it is; windows that straddle the end of one source and the
-beginning of another are looked up like any other, so no duplicate hides at a factor boundary.
-Factors have WINDOW words at least and are the duplicate spans.
+r"""Substring dedup by hashes of word windows.
+
+Window hashing replaces the relative Lempel-Ziv factorisation: no factor has a source, a greedy
+longest match or a boundary check. What is removed is the words that a repeated window of WINDOW
+words covers, and an equality lookup of every window's fingerprint finds these, whatever block they
+are in. The corpus is cut into blocks; a block's index is the sorted fingerprints of all its windows.
+Maximal runs of covered words, called factors below, are the duplicate spans.
 
 Words are `[^\x20\x09-\x0D]+`, unchanged. All lookups of a block go out together, through hash
 buckets (see blocks), since a window is in another block's index iff that block sent its
