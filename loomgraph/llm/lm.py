@@ -5,8 +5,9 @@ text is empty. States are the empty history and every one-word history seen in t
 state u an arc on word w exists for each trained pair, with log10 of
 (c(u w) + MU * p(w)) / (c(u) + MU); the failure arc, taken for any other word, costs
 log10(MU / (c(u) + MU)) and leads to the empty history, whose arc on w costs log10 p(w), with
-p(w) = (c(w) + 1) / (N + V + 1). The weights of a state's words sum to one. Each text is read once
-from left to right, from the state that stands for a text's beginning.
+p(w) = (c(w) + 1) / (N + V + 1). The weights of a state's words sum to one. The automaton is
+evaluated implicitly, by lookups of all of a block's counts at once: no state is built or carried, and
+as a failure costs what an arc of an untrained pair would, the model is a smoothed bigram.
 
 Counts cover every n-gram of every training document (crc32 of the id modulo HOLD_OUT isn't
 HELD; a null id counts as remainder 0). They aren't gathered in one table: blocks of documents send the
