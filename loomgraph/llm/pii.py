@@ -10,12 +10,21 @@ pattern, less those that fail validation, which aren't tried again at a later st
   ip     [0-9]+(\.[0-9]+){3}, parts at most 255
   card   [0-9]([ -]?[0-9])+, 16 to 19 digits that pass Luhn
   phone  \+[0-9][ ().0-9-]+[0-9], 8 to 15 digits
-login: user information in a url, `scheme://user[:password]@`.
+login: what a web address says of a person. The address is expanded from its scheme to the first blank,
+  quote or bracket less closing punctuation. Its user information, `scheme://user[:password]@`,
+  counts whatever the host; if the host is valid, so do the names after `/~` or `/@`, those after
+  `/users/`, `/profile/` and the like, and the values of parameters such as `email` or `session`.
 account: letters and digits after an account cue (`IBAN`, `account`, `passport`, `SSN`), 6 to 34
-  characters with a digit, an IBAN only with right check digits.
-secret: the value after `password=`, `token =` and the like (8 characters or more), or a cloud
-  access key id (`AKIA` and 16 capitals or digits).
-Spans count code points, end exclusive. A null text has none. Kinds may overlap each other.
+  characters, at least MIN_DIGITS of them digits, an IBAN only with right check digits.
+secret: the value after `password=`, `token =` and the like, 8 characters or more, if it looks made
+  up (a digit, or a sign between letters, and not a single word of prose); a cloud access key id
+  (`AKIA` and 16 capitals or digits); a token with an issuer's prefix; a private key block, up to its
+  end line if there is one.
+Spans count code points, end exclusive. Kinds may overlap each other. A null or empty text has
+none. A text is scanned once from left to right, in time linear in its length but for the lengths of
+failing matches, and holds nothing but its spans, so very long texts need no care. Repeated rows,
+or rows of one id, each give their row; an empty table gives none; no column but doc_id and text is
+read, so extra columns may have any name (redact hands them on).
 """
 
 from __future__ import annotations
@@ -38,19 +47,26 @@ IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 RUN = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-LOGIN = re.compile(r"[^\s/?#@]+@")
 ACCOUNT = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|#))?\s*[:=#]?\s*([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])", re.I)
-SECRET = re.compile(r"""\s*[:=]\s*["']?([^\s"'&,;]{8,})""")
+SECRET = re.compile(r"""["']?\s*[:=]\s*["']?([^\s"'&,;]{8,})""")
+MADE_UP = re.compile(r"[0-9]|[A-Za-z][^A-Za-z0-9.?!)\]'-]+[A-Za-z]|[a-z][A-Z]")
+MIN_DIGITS = 4
+TOKEN = re.compile(r"[A-Za-z0-9_-]{16,255}(?![A-Za-z0-9_-])")
+KEY_BLOCK = re.compile(r"[A-Z0-9 ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.\s-]*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\s]*)")
+URL = re.compile(r"""[^\s"'<>()\[\]{}|\\^`]+""")
+HOST = re.compile(r"(?:(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}|[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?::[0-9]{1,5})?\Z")
+PERSONAL = re.compile(r"/[~@]([^/?#]+)|/(?:users?|u|profiles?|people|members?|account|in)/([^/?#]+)|[?&;](?:user|username|login|e?mail|phone|session(?:id)?|token|access_token)=([^&;#]+)", re.I)
 ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
 ACCOUNT_CUES = ("iban", "account", "passport", "ssn")
 SECRET_CUES = ("password", "passwd", "secret", "token", "api_key", "apikey", "api-key")
+TOKEN_PREFIXES = ("ghp_", "gho_", "ghs_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "glpat-", "AIza", "eyJ")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "redis://", "mongodb://", "amqp://")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for kind, words in (("@", "@"), ("+", "+"), ("d", "0123456789"), ("key", ["AKIA"])):
+    for kind, words in (("@", "@"), ("+", "+"), ("d", "0123456789"), ("key", ["AKIA"]), ("prefix", TOKEN_PREFIXES), ("block", ["-----BEGIN "])):
         for w in words:
             found.add_word(w, (kind, len(w)))
     for kind, words in (("login", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
@@ -61,6 +77,23 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+def octet(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
+def logins(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The spans of a web address, without its scheme, that name a person."""
+    url = text[start:end]
+    place = re.split("[/?#]", url, maxsplit=1)[0]
+    user, at, host = place.rpartition("@")
+    found = [(start, start + len(user))] if at and user else []
+    if HOST.match(host):
+        found += [(start + m.start(m.lastindex), start + m.end(m.lastindex)) for m in PERSONAL.finditer(url, len(place))]
+    return found
+
+
 def luhn(digits: str) -> bool:
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
@@ -91,7 +124,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int
                         out["card"].append(m.span())
             if at >= ip and text.startswith(".", run_end) and (m := IP.match(text, at)):
                 ip = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                if all(map(octet, m.group().split("."))):
                     out["ip"].append(m.span())
         elif kind == "@":
             start = at
@@ -106,18 +139,27 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int
                 if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
                     out["phone"].append(m.span())
         elif kind == "login":
-            if end >= login and (m := LOGIN.match(text, end)):
+            if end >= login and (m := URL.match(text, end)):
                 login = m.end()
-                out["login"].append((end, login - 1))
+                out["login"] += logins(text, end, end + len(m.group().rstrip(".,;:!?*")))
         elif kind == "account":
-            if at >= account and (m := ACCOUNT.match(text, end)) and any(c.isdigit() for c in m.group(1)):
+            if at >= account and (m := ACCOUNT.match(text, end)) and sum(c.isdigit() for c in m.group(1)) >= MIN_DIGITS:
                 if text[at:end].lower() != "iban" or iban(m.group(1)):
                     account = m.end(1)
                     out["account"].append(m.span(1))
         elif kind == "secret":
-            if at >= secret and (m := SECRET.match(text, end)):
+            if at >= secret and (m := SECRET.match(text, end)) and MADE_UP.search(m.group(1)):
                 secret = m.end(1)
                 out["secret"].append(m.span(1))
+        elif kind == "prefix":
+            whole = at == 0 or not (text[at - 1].isalnum() or text[at - 1] in "_-")
+            if whole and at >= secret and (m := TOKEN.match(text, end)) and any(c.isdigit() for c in m.group()):
+                secret = m.end()
+                out["secret"].append((at, secret))
+        elif kind == "block":
+            if at >= secret and (m := KEY_BLOCK.match(text, end)):
+                secret = m.end()
+                out["secret"].append((at, secret))
         elif at >= secret and (m := ACCESS_KEY.match(text, at)):
             secret = m.end()
             out["secret"].append(m.span())
