@@ -9,8 +9,10 @@ equality join; the regular expression runs for those alone.
 
 Among host rules the longest wins and beats every pattern; among patterns an allow rule beats a
 block rule, then the longest, then the alphabetically last wins; with none the url is allowed.
-Null urls, or those without `://`, have empty host and path and are allowed. Repeated rows stay
-repeated; no input column but id and url is read, so clashing extra columns don't matter.
+Null urls, or those without `://`, have empty host and path and are allowed. Letters of other
+alphabets, such as the Kelvin sign, aren't folded to A-Z. Repeated rows stay repeated, and an empty
+table gives no rows. Each url is judged whole: a very long one has many tokens, a row each while
+candidates are fetched. No input column but id and url is read, so clashing extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     # The verdict is a function of the url alone, so candidates are looked up once per distinct url.
     distinct = urls.select("_url").where(F.col("_url").isNotNull()).distinct()
     subject = distinct.select("_url", url_parts(F.col("_url"))["subject"].alias("subject"))
-    tokens = F.array_distinct(F.concat(F.split(F.lower("subject"), "[^a-z0-9]+"), F.array(F.lit(""))))
+    tokens = F.array_distinct(F.concat(F.split(ascii_lower(F.col("subject")), "[^a-z0-9]+"), F.array(F.lit(""))))
     held = subject.select("_url", "subject", F.explode(tokens).alias("token"))
     listed = rules.select("kind", "verdict", "rule", "regex", F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit("")))).alias("token"))
     # Document frequency of the rules' own tokens, over every url.
