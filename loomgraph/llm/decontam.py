@@ -8,10 +8,13 @@ counts if some OVERLAP tokens in a row (all of a shorter item) with the hit amon
 but MISMATCHES of their positions.
 
 A Bloom filter of the benchmark's hashes, of fixed size whatever the benchmark's, drops the
-documents' other positions before anything is shuffled; the equality join decides. Null and empty
-texts, and items too short for every mask, have no hits. One row per document id and item that
-overlap; repeated rows count as one document with all their hits, null ids as one, null item ids
-as one item.
+documents' other positions before anything is shuffled; the equality join decides. Hits are
+compared as classes of equal surroundings, so a passage that many items or documents share costs one
+comparison. Null and empty texts, and items too short for every mask, have no hits; an empty table of
+either kind gives no rows. A very long text is one row until its hits are found, and each hit carries
+SPAN + 2 * REACH tokens at most. One row per document id and item that overlap; repeated rows count as
+one document with all their hits, null ids as one, null item ids as one item. No column but ids and
+texts is read, so extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -40,13 +43,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Hashes of the text's tokens; empty for a null."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda t: t != "")
-    return F.transform(words, lambda t: F.hash(t))
+    """The text's tokens; empty for a null."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda t: t != "")
 
 
 def seeds(toks: Column, keep: Callable[[Column], Column] | None = None) -> Column:
-    """array<struct<mask, pos, h>>: every mask at every position where it fits, if keep(h)."""
+    """array<struct<mask, pos, h>> of hashed tokens: every mask at every position where it fits, if keep(h)."""
     pairs = F.transform(toks, lambda t, i: F.xxhash64(t, F.get(toks, i + 1)))
 
     def hashed(g: Column) -> Column:
@@ -56,7 +58,7 @@ def seeds(toks: Column, keep: Callable[[Column], Column] | None = None) -> Colum
         # sequence() would count down for a short text
         every = F.when(F.size(toks) >= len(mask), F.sequence(F.lit(0), F.size(toks) - len(mask))).otherwise(F.array().cast("array<int>"))
 
-        def at(i: Column) -> Column:
+        def key(i: Column) -> Column:
             parts, k = [F.lit(m)], 0
             while k < len(mask):  # two selected neighbours take one hash
                 if mask[k : k + 2] == "11":
@@ -65,10 +67,14 @@ def seeds(toks: Column, keep: Callable[[Column], Column] | None = None) -> Colum
                 else:
                     parts += [F.get(toks, i + k)] if mask[k] == "1" else []
                     k += 1
-            return F.struct(F.lit(m).alias("mask"), i.alias("pos"), F.xxhash64(*parts).alias("h"))
+            return F.xxhash64(*parts)
 
-        rows = F.transform(every, at)
-        return F.filter(rows, lambda r: keep(r["h"])) if keep else rows
+        # few positions are kept, so rows are made for those alone
+        kept = F.filter(every, lambda i: let_test(key(i))) if keep else every
+        return F.transform(kept, lambda i: F.struct(F.lit(m).alias("mask"), i.alias("pos"), key(i).alias("h")))
+
+    def let_test(h: Column) -> Column:
+        return F.exists(F.array(h), keep)
 
     return let(pairs, hashed)
 
@@ -88,10 +94,17 @@ def bloom(hashes: DataFrame, words: int) -> DataFrame:
     return every.agg(F.transform(listed, lambda s: s["bits"]).alias("filter"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
-    """doc_id, text_hash, item_id, n_hits, matched, position: verified overlaps by document and item."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("item"))
-    index = items.select("item_id", "item", F.explode(seeds(F.col("item"))).alias("s")).select("item_id", "item", F.col("s.mask").alias("mask"), F.col("s.pos").alias("ip"), F.col("s.h").alias("h"))
+def hits(docs: DataFrame, benchmark: DataFrame, words: int = FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The documents' positions that pass the filter (doc_id, text_hash, mask, pos, h, lead, near) and the
+    index of the benchmark (item_id, mask, ip, h, width, back, item). near and item hold the tokens
+    around a position, as many as a comparison may need and lead or back of them before it, so no row
+    grows with its text."""
+    listed = benchmark.select("item_id", tokens(F.col("text")).alias("toks"))
+
+    def placed(toks: Column) -> Column:
+        return F.transform(seeds(F.transform(toks, lambda t: F.hash(t))), lambda r: F.struct(r["mask"].alias("mask"), r["pos"].alias("ip"), r["h"].alias("h"), F.least(r["pos"], F.lit(REACH)).alias("back"), around(toks, r["pos"]).alias("item")))
+
+    index = listed.select("item_id", F.least(F.lit(OVERLAP), F.size("toks")).alias("width"), F.explode(placed(F.col("toks"))).alias("s")).select("item_id", "width", "s.*")
     table = bloom(index.select("h"), words)
 
     def some(bits: Column) -> Callable[[Column], Column]:
@@ -101,30 +114,51 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, words: int = FILTER_WORDS) -
 
         return test
 
-    def hits(s: Column) -> Column:
-        toks = s["toks"]
-        kept = seeds(toks, some(s["bits"]))
-        low = lambda r: F.greatest(r["pos"] - REACH, F.lit(0))
-        return F.transform(kept, lambda r: F.struct(r["mask"].alias("mask"), r["pos"].alias("pos"), r["h"].alias("h"), (r["pos"] - low(r)).alias("lead"), F.slice(toks, low(r) + 1, F.lit(SPAN + 2 * REACH)).alias("near")))
+    def found(s: Column) -> Column:
+        kept = seeds(s["hashes"], some(s["bits"]))
+        return F.transform(kept, lambda r: F.struct(r["mask"].alias("mask"), r["pos"].alias("pos"), r["h"].alias("h"), F.least(r["pos"], F.lit(REACH)).alias("lead"), around(s["toks"], r["pos"]).alias("near")))
+
+    def hashed(toks: Column) -> Column:
+        return let(F.struct(toks.alias("toks"), F.transform(toks, lambda t: F.hash(t)).alias("hashes"), F.col("bits")), found)
 
-    state = F.struct(tokens(F.col("text")).alias("toks"), "bits")
     read = docs.select("doc_id", "text", table.scalar().alias("bits"))
-    found = read.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(let(state, hits)).alias("s")).select("doc_id", "text_hash", "s.*")
-    met = found.join(index, ["mask", "h"])
-    return verified(met).groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_hits"), F.max("matched").alias("matched"), F.min("pos").alias("position"))
+    rows = read.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(let(tokens(F.col("text")), hashed)).alias("s"))
+    return rows.select("doc_id", "text_hash", "s.*"), index
+
+
+def around(toks: Column, pos: Column) -> Column:
+    return F.slice(toks, F.greatest(pos - REACH, F.lit(0)) + 1, F.lit(SPAN + 2 * REACH))
+
+
+def classes(found: DataFrame, index: DataFrame) -> DataFrame:
+    """mask, h, lead, near, width, back, item, matched: the pairs of different surroundings that overlap.
+    Many documents or items that share a passage share its surroundings, so each pair of them is
+    compared once, not once for every document and item."""
+    left = found.select("mask", "h", "lead", "near").distinct()
+    right = index.select("mask", "h", "width", "back", "item").distinct()
+    return verified(left.join(right, ["mask", "h"]))
 
 
 def verified(met: DataFrame) -> DataFrame:
-    """Hits with an overlap around them; matched: the most agreeing positions of a window with the hit."""
+    """Hits with an overlap around them; matched: the most agreeing positions of a window with the hit.
+    Tokens are compared as strings."""
     span = F.element_at(F.array(*[F.lit(len(m)) for m in MASKS]), F.col("mask") + 1)
-    width = F.least(F.lit(OVERLAP), F.size("item"))
-    back = F.least(F.col("lead"), F.col("ip"), width - span)
-    ahead = F.least(F.size("near") - F.col("lead"), F.size("item") - F.col("ip"), width)
-    ranged = met.withColumns({"width": width, "back": F.greatest(back, F.lit(0)), "ahead": ahead, "span": span})
-    equal = F.transform(F.sequence(-F.col("back"), F.col("ahead") - 1), lambda k: (F.get("near", F.col("lead") + k) == F.get("item", F.col("ip") + k)).cast("int"))
-    agree = ranged.withColumn("agree", equal)
-    sums = F.when(F.size("agree") >= F.col("width"), F.transform(F.sequence(F.lit(0), F.size("agree") - F.col("width")), lambda s: F.aggregate(F.slice("agree", s + 1, F.col("width")), F.lit(0), lambda a, x: a + x)))
-    return agree.withColumn("matched", F.array_max(sums)).where(F.col("matched") >= F.col("width") - MISMATCHES)
+    before = F.greatest(F.least(F.col("lead"), F.col("back"), F.col("width") - span), F.lit(0))
+    ahead = F.least(F.size("near") - F.col("lead"), F.size("item") - F.col("back"), F.col("width"))
+    ranged = met.withColumns({"_before": before, "_ahead": ahead})
+    equal = F.transform(F.sequence(-F.col("_before"), F.col("_ahead") - 1), lambda k: (F.get("near", F.col("lead") + k) == F.get("item", F.col("back") + k)).cast("int"))
+    agree = ranged.withColumn("_agree", equal)
+    sums = F.when(F.size("_agree") >= F.col("width"), F.transform(F.sequence(F.lit(0), F.size("_agree") - F.col("width")), lambda s: F.aggregate(F.slice("_agree", s + 1, F.col("width")), F.lit(0), lambda a, x: a + x)))
+    return agree.withColumn("matched", F.array_max(sums)).where(F.col("matched") >= F.col("width") - MISMATCHES).drop("_before", "_ahead", "_agree")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """doc_id, text_hash, item_id, n_hits, matched, position: verified overlaps by document and item.
+    The hits are written out first, so that the texts are read once."""
+    found, index = hits(docs, benchmark, words)
+    found = materialize(found, "hits")
+    met = found.join(classes(found, index), ["mask", "h", "lead", "near"]).join(index, ["mask", "h", "width", "back", "item"])
+    return met.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_hits"), F.max("matched").alias("matched"), F.min("pos").alias("position"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -134,9 +168,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that overlap with no item. What overlaps is written out first: with its size
-    known, the texts are shuffled only if it is too large for Spark to broadcast."""
-    bad = materialize(overlaps(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "overlaps")
+    """The rows of docs that overlap with no item; which item doesn't matter, so none is joined. What
+    overlaps is written out first: with its size known, the texts are shuffled only if it is too large
+    for Spark to broadcast."""
+    found, index = hits(docs, benchmark)
+    found = materialize(found, "hits")
+    key = ["mask", "h", "lead", "near"]
+    bad = found.join(classes(found, index).select(key), key, "left_semi")
+    bad = materialize(bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "overlaps")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
 
 
