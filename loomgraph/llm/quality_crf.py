@@ -9,7 +9,10 @@ lines, and empty or null texts, have a weight).
 Lines of labelled documents take the document's quality as their label. The fit, by gradient
 steps on the penalised likelihood, uses at most MAX_FIT labelled documents of the training fold
 (crc32 of the id modulo 5 not 0), those of least id hash; labels, lang, source and ids are no
-features. Without labels the score is a half.
+features. Of a document it reads MAX_FIT_LINES lines at most, and of rows with one id the one of least
+label and features. Without labels the score is a half. Scores read every line of each whole text;
+a slice of texts is held as features, 56 bytes a line. Repeated rows each give their row, an empty
+table none, and no column but doc_id and text is read, so extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import bounded_sample, map_text, remainder
 
 MAX_FIT, FOLDS = 8_000, 5
+#: Lines of a document that the fit reads; scores read them all.
+MAX_FIT_LINES = 300
 PREDICTED = 0.3
 STEPS, RATE, PENALTY = 120, 0.1, 0.02
 OWN = 14
@@ -139,9 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_FIT) -> Chain | No
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def make() -> Any:
-        return lambda columns: {"doc_id": columns["doc_id"], "quality": columns["quality"], "x": [line_features(t or "")[0].tobytes() for t in columns["text"]]}
+        return lambda columns: {"doc_id": columns["doc_id"], "quality": columns["quality"], "x": [line_features(t or "")[0][:MAX_FIT_LINES].tobytes() for t in columns["text"]]}
 
-    got = map_text(rows, "doc_id long, quality int, x binary", make).toPandas().sort_values("doc_id", kind="stable")
+    # one row per id, however often it is repeated: the driver gets `most` rows of MAX_FIT_LINES * 56 bytes at most
+    one = map_text(rows, "doc_id long, quality int, x binary", make).groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("s"))
+    got = one.select("doc_id", "s.*").toPandas().sort_values("doc_id", kind="stable")
     if not len(got):
         return None
     parts = [np.frombuffer(b, np.float32).reshape(-1, OWN) for b in got["x"]]
