@@ -9,7 +9,10 @@ probability. Fitted trees are flattened into numpy arrays of split features, thr
 values, in heap order, and whole batches are scored at once.
 
 The fit uses at most MAX_FIT labelled documents (those of least id hash whose crc32 mod 5 is not
-0, so that a fold stays unseen); without labels of both kinds only the hard rules judge.
+0, so that a fold stays unseen), one row of each id (of several the one of least label and features);
+without labels of both kinds only the hard rules judge. Each text, however long, is counted whole;
+an empty text has zero statistics and fails. Repeated rows each give their row, an empty table none,
+and no column but doc_id and text is read, so extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -151,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_FIT) -> Trees | No
     def make() -> Any:
         return lambda columns: {"doc_id": columns["doc_id"], "quality": columns["quality"], "x": [statistics(t or "")[1] for t in columns["text"]]}
 
-    got = map_text(rows, "doc_id long, quality int, x array<double>", make).toPandas().sort_values("doc_id", kind="stable")
+    # one row per id, however often it is repeated, so that the driver gets `most` rows at most
+    one = map_text(rows, "doc_id long, quality int, x array<double>", make).groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("s"))
+    got = one.select("doc_id", "s.*").toPandas().sort_values("doc_id", kind="stable")
     if not len(got):
         return None
     return fit(np.array(got["x"].tolist()), got["quality"].to_numpy(float), list(FEATURES.values()))
