@@ -5,14 +5,15 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import bpe, decontam, lm, pii, quality_crf, quality_gbt, simhash, substring_dedup, token_rollup, url_filter
 from loomgraph.llm.common import table
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 BPE_FILE = "byte_bpe_50k.json"
+#: Folder of the public tokenizers' files.
+TOKENIZERS = os.path.dirname(public_tokenizers.path(BPE_FILE))
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,7 +45,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{BPE_FILE}")
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
