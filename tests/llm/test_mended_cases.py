@@ -3,10 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from loomgraph.llm import bpe, decontam, pii, quality_crf, quality_gbt, queries, substring_dedup, token_rollup, url_filter
+from loomgraph.llm import blocks, bpe, decontam, lm, pii, quality_crf, quality_gbt, queries, substring_dedup, token_rollup, url_filter
 from loomgraph.llm.common import shared_dir
 
 ADDRESSES = [".".join([*["1"] * k, digits, *["1"] * (3 - k)]) for k in range(4) for digits in ("0" * 5000, "0" * 5000 + "7", "9" * 5000)]
@@ -122,3 +123,48 @@ def test_clashing_names_and_empty_tables(spark, docs, none):
         assert f(odd).count() == docs.count() and f(none).count() == 0
     assert token_rollup.documents_history(odd, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() > 0
     assert os.path.exists(path)
+
+
+def test_tree_of_nodes_adds_up_like_one_node(spark, docs):
+    """Several levels of nodes give the same counts; equal rows and many short texts make many blocks."""
+    rows = spark.createDataFrame([(i, t) for i, t in [(5, "same row every time")] * 300 + [(k, f"w{k % 7} w{k % 5}") for k in range(300)]], "doc_id long, text string")
+    for table in (rows, docs.select("doc_id", "text")):
+        one = sorted(map(repr, lm.score(table).collect()))
+        many = lm.score(table, block_bytes=6000, fanout=3).collect()
+        assert len(blocks.levels(blocks.count_blocks(table, 6000), 3)) > 2
+        assert [r.split("base")[0] for r in sorted(map(repr, many))] == [r.split("base")[0] for r in one]
+        assert abs(sum(r.score for r in many) - sum(r.score for r in lm.score(table).collect())) < 1e-6
+    dealt = blocks.into_blocks(rows, 20).groupBy("block").count().collect()
+    assert len(dealt) == 20 and max(r["count"] for r in dealt) < 100
+    assert blocks.count_blocks(rows.withColumn("text", lm_empty()), 6000) == 20
+
+
+def lm_empty():
+    from pyspark.sql import functions as F
+
+    return F.lit("")
+
+
+def test_automaton_carries_its_state_and_fails_to_the_empty_history():
+    """Against a walk arc by arc over dictionaries."""
+    rng = np.random.default_rng(3)
+    count = np.array([5.0, 3.0, 0.0, 2.0, 4.0])
+    pairs = {(s, w): float(rng.integers(0, 3)) for s in (*range(1, 6), 6) for w in range(5) if count[w] and (s == 6 or count[s - 1])}
+    state, word = (np.array(x) for x in zip(*pairs))
+    model = lm.automaton(count, 3, (state, word, np.array(list(pairs.values()))), 14, 4, 10.0)
+    sizes = np.array([4, 1, 7, 3])
+    tokens = rng.integers(0, 5, sizes.sum())
+    p = lambda w: (count[w] + 1) / 19
+    want, at = [], 0
+    for n in sizes:
+        total, state = 0.0, 6
+        for w in tokens[at : at + n]:
+            seen = [0.0, *count, 3.0][state]
+            if pairs.get((state, w), 0) > 0:
+                total += np.log10((pairs[state, w] + 10 * p(w)) / (seen + 10))
+            else:
+                total += np.log10(p(w)) + (np.log10(10 / (seen + 10)) if state else 0)
+            state = w + 1 if count[w] else 0
+        want.append(total)
+        at += n
+    assert np.allclose(model.traverse(tokens, sizes, 6), want)
