@@ -1,107 +1,146 @@
-"""Rule sets as plans: every statement becomes a DataFrame of violations, and they are united.
-
-Edges are joined on node ids with the matching nodes of either side pushed below the join; nothing
-is looked up node by node. The violations carry (rule_seq, statement_seq) as their order.
+"""Rule sets as plans: all statements of a set are evaluated together.
+
+Nodes are read once for the statements on single patterns: the numbers of the statements that a node
+violates are an array of its row, which is exploded. For statements on calls the numbers whose source
+a node matches, and those whose target, are arrays too; call edges meet the nodes of either side once
+for all statements, and a statement holds for an edge if its number is in both arrays. So the plan has
+the same few joins however many statements there are. What differs by statement besides its
+predicates, its rule and message, is a constant array indexed by the number. The violations carry
+(rule_seq, statement_seq) as their order.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.nodes import compare, full_name, metric
 from loomgraph.functions.patterns import engine_predicate, matches
-from loomgraph.operators.rules_lang import Condition, RuleError, RuleSet, Statement, load_rules
+from loomgraph.operators.rules_lang import RuleError, RuleSet, Statement, load_rules
 
 SCHEMA = """rule_seq int, statement_seq int, rule string, file_path string, line int,
 caller_package string, called_package string, called_line int, message string, source string"""
 
 
-def violations(nodes: DataFrame, edges: DataFrame, rules: RuleSet | str | None) -> DataFrame:
-    """One row per violation; no rules give no rows, a null rule set is an error."""
+class Compiled(NamedTuple):
+    """A statement: its kind, source predicate, target predicate, and the texts around the name in its message."""
+
+    rule_seq: int
+    statement_seq: int
+    rule: str
+    kind: str
+    source: Column
+    target: Column | None
+    before: str
+    after: str
+
+
+def compile_rules(rules: RuleSet | str | None) -> list[Compiled]:
+    """A null rule set is an error, as is a condition that can't be compared."""
     if rules is None:
         raise RuleError("no rule set")
     if isinstance(rules, str):
         rules = load_rules(rules)
-    plans = []
-    for i, rule in enumerate(rules.rules):
-        for j, statement in enumerate(rule.statements):
-            plan = _statement(nodes, edges, statement, rule.name)
-            if plan is not None:
-                plans.append(plan.select(F.lit(i).alias("rule_seq"), F.lit(j).alias("statement_seq"), F.lit(rule.name).alias("rule"), *plan.columns, F.lit("aql").alias("source")))
-    if not plans:
-        return nodes.sparkSession.createDataFrame([], SCHEMA)
-    return reduce(DataFrame.unionByName, plans)
+    found = [_compiled(i, j, rule.name, s) for i, rule in enumerate(rules.rules) for j, s in enumerate(rule.statements)]
+    return [c for c in found if c is not None]
 
 
-def _statement(nodes: DataFrame, edges: DataFrame, s: Statement, rule: str) -> DataFrame | None:
-    if s.kind == "LIMIT" and s.condition:
-        return limit(nodes, s.condition, rule)
+def _compiled(i: int, j: int, rule: str, s: Statement) -> Compiled | None:
+    head = f"Rule '{rule}': "
     if s.kind == "ALLOW":  # has no effect
         return None
+    if s.kind == "LIMIT" and s.condition:
+        c = s.condition
+        if isinstance(c.value, (str, bool)):
+            raise RuleError(f"{c.metric} can't be compared with {c.value!r}")
+        # the pattern must match by both matchers
+        return Compiled(i, j, rule, "node", engine_predicate(c.pattern) & matches(c.pattern) & compare(metric(c.metric), c.op, int(c.value)), None, head, " violated limit")
+    assert s.pattern
+    source = engine_predicate(s.pattern)
     if s.kind == "FORBID":
-        return forbid_calls(nodes, edges, s, rule) if s.target else forbid(nodes, s, rule)
-    return require_calls(nodes, edges, s, rule) if s.target else require(nodes, s, rule)
+        if s.target:
+            return Compiled(i, j, rule, "forbid_calls", source, matches(s.target), f"{head}Forbidden call from ", "")
+        return Compiled(i, j, rule, "node", source, None, f"{head}Forbidden pattern {s.pattern} found in ", "")
+    if s.target:
+        return Compiled(i, j, rule, "require_calls", source, matches(s.target), f"{head}Required relationship from ", f" to {s.target} not found")
+    return Compiled(i, j, rule, "require", source, None, f"{head}Required pattern {s.pattern} not found in codebase", "")
 
 
-def _row(message: Column, line: Column | None = None) -> list[Column]:
-    return [F.col("file_path"), (F.col("start_line") if line is None else line).alias("line"), F.col("package_name").alias("caller_package"), full_name().alias("called_package"), F.col("start_line").alias("called_line"), message.alias("message")]
+def violations(nodes: DataFrame, edges: DataFrame, rules: RuleSet | str | None) -> DataFrame:
+    """One row per violation; no rules give no rows, a null rule set is an error."""
+    return evaluate(nodes, edges, compile_rules(rules))
 
 
-def limit(nodes: DataFrame, c: Condition, rule: str) -> DataFrame:
-    """Nodes for which the comparison is true; the pattern must match by both matchers."""
-    if isinstance(c.value, (str, bool)):
-        raise RuleError(f"{c.metric} can't be compared with {c.value!r}")
-    found = nodes.where(engine_predicate(c.pattern) & matches(c.pattern) & compare(metric(c.metric), c.op, int(c.value)))
-    return found.select(*_row(F.concat(F.lit(f"Rule '{rule}': "), full_name(), F.lit(" violated limit"))))
+def evaluate(nodes: DataFrame, edges: DataFrame, statements: list[Compiled]) -> DataFrame:
+    of = lambda kind: {k: s for k, s in enumerate(statements) if s.kind == kind}
+    makers = (("node", lambda s: _nodes(nodes, s)), ("require", lambda s: _require(nodes, s)), ("forbid_calls", lambda s: _forbid_calls(nodes, edges, s)), ("require_calls", lambda s: _require_calls(nodes, edges, s)))
+    parts = [make(of(kind)) for kind, make in makers if of(kind)]
+    if not parts:
+        return nodes.sparkSession.createDataFrame([], SCHEMA)
+    told = F.array(*[F.struct(F.lit(s.rule_seq).alias("rule_seq"), F.lit(s.statement_seq).alias("statement_seq"), F.lit(s.rule).alias("rule"), F.lit(s.before).alias("before"), F.lit(s.after).alias("after")) for s in statements])
+    found = reduce(DataFrame.unionByName, parts).withColumn("_told", F.get(told, F.col("k")))
+    message = F.concat("_told.before", "name", "_told.after")
+    return found.select("_told.rule_seq", "_told.statement_seq", "_told.rule", "file_path", "line", "caller_package", "called_package", "called_line", message.alias("message"), F.lit("aql").alias("source"))
 
 
-def forbid(nodes: DataFrame, s: Statement, rule: str) -> DataFrame:
-    assert s.pattern
-    return nodes.where(engine_predicate(s.pattern)).select(*_row(F.concat(F.lit(f"Rule '{rule}': Forbidden pattern {s.pattern} found in "), full_name())))
+def _numbers(predicates: dict[int, Column]) -> Column:
+    """array<int>: the numbers of the statements whose predicate holds for the row."""
+    return F.array_compact(F.array(*[F.when(p, F.lit(k)) for k, p in predicates.items()]))
 
 
-def _calls(nodes: DataFrame, edges: DataFrame, s: Statement) -> DataFrame:
-    """Call edges whose target matches, by source id."""
-    assert s.target
-    to = nodes.where(matches(s.target)).select(F.col("id").alias("to_ast_id"), F.col("package_name").alias("to_package"), full_name().alias("to_name"))
-    return edges.where("relationship_type = 'call'").select("from_ast_id", "to_ast_id", "line_no").join(to, "to_ast_id")
+def _sources(statements: dict[int, Compiled]) -> Column:
+    return _numbers({k: s.source for k, s in statements.items()})
 
 
-def forbid_calls(nodes: DataFrame, edges: DataFrame, s: Statement, rule: str) -> DataFrame:
-    """One violation per call edge, at the edge's line."""
-    assert s.pattern
-    source = nodes.where(engine_predicate(s.pattern)).select(F.col("id").alias("from_ast_id"), "file_path", "package_name", full_name().alias("from_name"))
-    met = _calls(nodes, edges, s).join(source, "from_ast_id")
-    message = F.concat(F.lit(f"Rule '{rule}': Forbidden call from "), F.col("from_name"), F.lit(" to "), F.col("to_name"))
-    return met.select("file_path", F.col("line_no").alias("line"), F.col("package_name").alias("caller_package"), F.col("to_package").alias("called_package"), F.col("line_no").alias("called_line"), message.alias("message"))
+def _node_rows(found: DataFrame) -> DataFrame:
+    """Violations at the node itself; found: k and the columns of nodes, with name."""
+    return found.select("k", "name", "file_path", F.col("start_line").alias("line"), F.col("package_name").alias("caller_package"), F.col("name").alias("called_package"), F.col("start_line").alias("called_line"))
 
 
-def require_calls(nodes: DataFrame, edges: DataFrame, s: Statement, rule: str) -> DataFrame:
-    """Sources without any call edge to a target."""
-    assert s.pattern
-    calling = _calls(nodes, edges, s).select(F.col("from_ast_id").alias("id"))
-    missing = nodes.where(engine_predicate(s.pattern)).join(calling, "id", "left_anti")
-    return missing.select(*_row(F.concat(F.lit(f"Rule '{rule}': Required relationship from "), full_name(), F.lit(f" to {s.target} not found"))))
+def _nodes(nodes: DataFrame, statements: dict[int, Compiled]) -> DataFrame:
+    return _node_rows(nodes.select("file_path", "package_name", "start_line", full_name().alias("name"), F.explode(_sources(statements)).alias("k")))
 
 
-def require(nodes: DataFrame, s: Statement, rule: str) -> DataFrame:
-    """One row, without a file, iff nothing matches."""
-    assert s.pattern
-    none = nodes.where(engine_predicate(s.pattern)).agg(F.count("*").alias("n")).where("n = 0")
-    text = F.lit(f"Rule '{rule}': Required pattern {s.pattern} not found in codebase")
-    return none.select(F.lit("").alias("file_path"), F.lit(0).alias("line"), F.lit("").alias("caller_package"), F.lit("").alias("called_package"), F.lit(0).alias("called_line"), text.alias("message"))
+def _require(nodes: DataFrame, statements: dict[int, Compiled]) -> DataFrame:
+    """One row, without a file, for each statement that nothing matches."""
+    met = nodes.agg(F.array_compact(F.array(*[F.when(F.coalesce(F.bool_or(s.source), F.lit(False)), F.lit(None)).otherwise(F.lit(k)) for k, s in statements.items()])).alias("ks"))
+    none, zero = F.lit(""), F.lit(0)
+    return met.select(F.explode("ks").alias("k"), none.alias("name"), none.alias("file_path"), zero.alias("line"), none.alias("caller_package"), none.alias("called_package"), zero.alias("called_line"))
+
+
+def _calls(nodes: DataFrame, edges: DataFrame, statements: dict[int, Compiled]) -> DataFrame:
+    """Call edges with the numbers of the statements whose target they reach."""
+    reached = _numbers({k: s.target for k, s in statements.items() if s.target is not None})
+    to = nodes.select(F.col("id").alias("to_ast_id"), F.col("package_name").alias("to_package"), full_name().alias("to_name"), reached.alias("reached")).where(F.size("reached") > 0)
+    return edges.where("relationship_type = 'call'").select("from_ast_id", "to_ast_id", "line_no").join(to, "to_ast_id")
+
+
+def _forbid_calls(nodes: DataFrame, edges: DataFrame, statements: dict[int, Compiled]) -> DataFrame:
+    """One violation per call edge and statement, at the edge's line."""
+    source = nodes.select(F.col("id").alias("from_ast_id"), "file_path", "package_name", full_name().alias("from_name"), _sources(statements).alias("leaving")).where(F.size("leaving") > 0)
+    met = _calls(nodes, edges, statements).join(source, "from_ast_id").withColumn("k", F.explode(F.array_intersect("leaving", "reached")))
+    name = F.concat("from_name", F.lit(" to "), "to_name")
+    return met.select("k", name.alias("name"), "file_path", F.col("line_no").alias("line"), F.col("package_name").alias("caller_package"), F.col("to_package").alias("called_package"), F.col("line_no").alias("called_line"))
+
+
+def _require_calls(nodes: DataFrame, edges: DataFrame, statements: dict[int, Compiled]) -> DataFrame:
+    """Sources without any call edge to a target, by statement."""
+    calling = _calls(nodes, edges, statements).select(F.col("from_ast_id").alias("id"), F.explode("reached").alias("k")).distinct()
+    source = nodes.select("id", "file_path", "package_name", "start_line", full_name().alias("name"), F.explode(_sources(statements)).alias("k"))
+    return _node_rows(source.join(calling, ["id", "k"], "left_anti"))
 
 
 def run_configured(nodes: DataFrame, edges: DataFrame, texts: list[str]) -> DataFrame:
-    """Violations of a list of rule texts; a text that can't be parsed or compiled is itself a violation at line 1."""
-    plans = []
+    """Violations of a list of rule texts, evaluated together; a text that can't be parsed or compiled is itself a violation at line 1."""
+    statements: list[Compiled] = []
+    errors = []
     for text in texts:
         try:
-            plans.append(violations(nodes, edges, text))
+            statements += compile_rules(text)
         except ValueError as e:
-            row = [(0, 0, "", "", 1, "", "", 1, f"rule error: {e}", "aql")]
-            plans.append(nodes.sparkSession.createDataFrame(row, SCHEMA))
-    return reduce(DataFrame.unionByName, plans) if plans else nodes.sparkSession.createDataFrame([], SCHEMA)
+            errors.append((0, 0, "", "", 1, "", "", 1, f"rule error: {e}", "aql"))
+    found = evaluate(nodes, edges, statements)
+    return found.unionByName(nodes.sparkSession.createDataFrame(errors, SCHEMA)) if errors else found
