@@ -15,6 +15,8 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.batches import steps
+
 SCHEMA = """file_path string, package_name string, type_name string, method_name string, field_name string, node_type string,
 language string, start_line int, end_line int, cyclomatic_complexity int, parameter_count int, return_count int, line_count int, is_private boolean"""
 FIELDS = [c.split()[0] for c in SCHEMA.replace("\n", " ").split(", ")]
@@ -51,7 +53,6 @@ def python_complexity(node: ast.AST) -> int:
 
 def extract_python(path: str, text: str) -> Iterator[Node]:
     tree, package = ast.parse(text), python_package(path)
-    yield _node(path, package, "package", "python", 1, text.count("\n") + 1)
 
     def function(f: ast.FunctionDef | ast.AsyncFunctionDef, owner: str) -> Node:
         a = f.args
@@ -88,10 +89,11 @@ def _block_end(text: str, at: int) -> int:
     return len(text) - 1
 
 
-def _blank(text: str, quotes: str) -> str:
-    """The text with strings and comments blanked, line breaks kept."""
-    form = r"//[^\n]*|/\*.*?\*/|" + "|".join(rf"{q}(?:\\.|[^{q}\\{'' if q == '`' else chr(92) + 'n'}])*{q}" for q in quotes)
-    return re.sub(form, lambda m: re.sub(r"[^\n]", " ", m.group()), text, flags=re.S)
+def blank(text: str, quotes: str, strings: bool = True) -> str:
+    """The text with comments and, unless strings is false, strings blanked; line breaks are kept."""
+    quoted = "|".join(rf"{q}(?:\\.|[^{q}\\{'' if q == '`' else chr(92) + 'n'}])*{q}" for q in (quotes if strings else "\"'`"))
+    form = rf"(?P<comment>//[^\n]*|/\*.*?\*/)|{quoted}"
+    return re.sub(form, lambda m: re.sub(r"[^\n]", " ", m.group()) if strings or m["comment"] else m.group(), text, flags=re.S)
 
 
 def _commas(text: str) -> int:
@@ -108,16 +110,22 @@ def _go_private(name: str) -> bool:
     return not bare or not bare[0].isupper()
 
 
+def _in_group(text: str, at: int, words: str) -> bool:
+    """Whether a line is one of a parenthesised group of declarations."""
+    opened = text.rfind("\n)", 0, at)
+    heads = [m for m in re.compile(rf"^(?:{words})[ \t]*\(", re.M).finditer(text, max(opened, 0), at)]
+    return bool(heads) and text[heads[-1].end() : at].count("(") == text[heads[-1].end() : at].count(")") and text[heads[-1].end() : at].count("{") == text[heads[-1].end() : at].count("}")
+
+
 def extract_go(path: str, text: str) -> Iterator[Node]:
-    bare = _blank(text, "\"`'")
+    bare = blank(text, "\"`'")
     line = lambda i: bare.count("\n", 0, i) + 1
     m = re.search(r"^package\s+(\w+)", bare, re.M)
     package = m[1] if m else ""
-    yield _node(path, package, "package", "go", line(m.start()) if m else 1, text.count("\n") + 1)
     for m in re.finditer(r"^(?:type\s+|\t)(\w+)(?:\[[^\]]*\])?\s+(struct|interface)\s*\{", bare, re.M):
         end = _block_end(bare, m.end() - 1)
         yield _node(path, package, "type", "go", line(m.start()), line(end), type_name=m[1], is_private=_go_private(m[1]))
-        for f in re.finditer(r"^\s*(\w+(?:\s*,\s*\w+)*)(\(|\s+[\w*\[\].])", bare[m.end() : end], re.M):
+        for f in re.finditer(r"^\s*(\w+(?:[ \t]*,[ \t]*\w+)*)(\(|[ \t]+[\w*\[\].(<])", bare[m.end() : end], re.M):
             at = line(m.end() + f.start(1))
             for name in re.split(r"\s*,\s*", f[1]):
                 if m[2] == "interface" and f[2] == "(":
@@ -132,16 +140,21 @@ def extract_go(path: str, text: str) -> Iterator[Node]:
         result = m[4].strip()
         results = _commas(result[1:-1]) if result.startswith("(") else int(bool(result))
         yield _node(path, package, "method", "go", line(m.start()), line(end), type_name=m[1] or "", method_name=m[2], cyclomatic_complexity=complexity, parameter_count=_commas(m[3]), return_count=results, is_private=_go_private(m[2]))
-    for m in re.finditer(r"^(?:var|const)\s+(\w+)", bare, re.M):
-        yield _node(path, package, "variable", "go", line(m.start()), line(m.start()), field_name=m[1], is_private=_go_private(m[1]))
+    for m in re.finditer(r"^(?:type\s+|\t)(\w+)(?:\[[^\]]*\])?[ \t]+(?==?[ \t]*[\w*\[(<])(?!(?:struct|interface)\b)[^\n]*", bare, re.M):
+        if m.group().startswith("type") or _in_group(bare, m.start(), "type"):
+            yield _node(path, package, "type", "go", line(m.start()), line(m.end()), type_name=m[1], is_private=_go_private(m[1]))
+    for m in re.finditer(r"^(?:(?:var|const)[ \t]+|\t)(\w+(?:[ \t]*,[ \t]*\w+)*)(?=[ \t]|$)", bare, re.M):
+        if not m.group().startswith("\t") or _in_group(bare, m.start(), "var|const"):
+            for name in re.split(r"[ \t]*,[ \t]*", m[1]):
+                if name != "_":
+                    yield _node(path, package, "variable", "go", line(m.start(1)), line(m.start(1)), field_name=name, is_private=_go_private(name))
 
 
 def extract_java(path: str, text: str) -> Iterator[Node]:
-    bare = _blank(text, "\"'")
+    bare = blank(text, "\"'")
     line = lambda i: bare.count("\n", 0, i) + 1
     m = re.search(r"^\s*package\s+([\w.]+)\s*;", bare, re.M)
     package = m[1] if m else ""
-    yield _node(path, package, "package", "java", 1, text.count("\n") + 1)
     types = [(m[1], m.start(), m.end(), _block_end(bare, m.end() - 1)) for m in re.finditer(r"\b(?:class|interface|enum|record)\s+(\w+)[^{;]*\{", bare)]
     owner = lambda i: max(((s, n) for n, s, b, e in types if b <= i <= e), default=(0, ""))[1]
     for name, start, _, end in types:
@@ -162,11 +175,10 @@ def extract_java(path: str, text: str) -> Iterator[Node]:
             yield _node(path, package, "field", "java", line(m.start(3)), line(m.start(3)), type_name=owner(m.start(3)), field_name=m[3], is_private="private" in m[1])
 
 
-def _extract_script(path: str, text: str, language: str) -> Iterator[Node]:
-    bare = _blank(text, "\"'`")
+def extract_script(path: str, text: str, language: str) -> Iterator[Node]:
+    bare = blank(text, "\"'`")
     line = lambda i: bare.count("\n", 0, i) + 1
     package = path.rsplit("/", 1)[0].rsplit("/", 1)[-1] if "/" in path else ""
-    yield _node(path, package, "package", language, 1, text.count("\n") + 1)
     classes = [(m[2], m.start(), m.end(), _block_end(bare, m.end() - 1)) for m in re.finditer(r"\b(class|interface|enum)\s+(\w+)[^{;]*\{", bare)]
     for name, start, _, end in classes:
         yield _node(path, package, "type", language, line(start), line(end), type_name=name)
@@ -191,8 +203,8 @@ EXTRACTORS: dict[str, Callable[[str, str], Iterator[Node]]] = {
     "python": extract_python,
     "go": extract_go,
     "java": extract_java,
-    "javascript": lambda p, t: _extract_script(p, t, "javascript"),
-    "typescript": lambda p, t: _extract_script(p, t, "typescript"),
+    "javascript": lambda p, t: extract_script(p, t, "javascript"),
+    "typescript": lambda p, t: extract_script(p, t, "typescript"),
 }
 
 
@@ -210,14 +222,15 @@ def extract(texts: DataFrame) -> DataFrame:
     out, extractors = to_arrow_schema(_parse_datatype_string(SCHEMA)), dict(EXTRACTORS)
 
     def run(batches: Any) -> Any:
-        for b in batches:
-            rows: list[Node] = []
-            for path, language, text in zip(*(b.column(c).to_pylist() for c in ("file_path", "language", "text"))):
-                try:
-                    rows += extractors[language](path, text or "")
-                except (SyntaxError, ValueError, RecursionError):
-                    continue
-            yield pa.RecordBatch.from_pylist(rows, schema=out)
+        for batch in batches:
+            for b in steps(batch, "text"):
+                rows: list[Node] = []
+                for path, language, text in zip(*(b.column(c).to_pylist() for c in ("file_path", "language", "text"))):
+                    try:
+                        rows += extractors[language](path, text or "")
+                    except Exception:  # noqa: BLE001, S112: whatever a file holds, the others go on
+                        continue
+                yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     return texts.where(F.col("language").isin(*extractors)).select("file_path", "language", "text").mapInArrow(run, SCHEMA)
 

@@ -15,6 +15,7 @@ import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.batches import steps
 from loomgraph.operators.deps import npm_version
 
 SCHEMA = "file_path string, name string, version string, type string, git string, indirect boolean, line int"
@@ -233,7 +234,7 @@ def parse(path: str, text: str) -> list[Row]:
         if re.match(pattern, name):
             try:
                 return list(parser(name, text))
-            except (yaml.YAMLError, tomllib.TOMLDecodeError, ET.ParseError, AttributeError, TypeError):
+            except Exception:  # noqa: BLE001: whatever a manifest holds, the others go on
                 return []
     return []
 
@@ -243,11 +244,12 @@ def scan(texts: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Any) -> Any:
-        for b in batches:
-            rows = [(p, *r) for p, t in zip(b.column("file_path").to_pylist(), b.column("text").to_pylist()) for r in parse(p, t or "")]
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
-            kinds = [pa.string()] * 5 + [pa.bool_(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        kinds = [pa.string()] * 5 + [pa.bool_(), pa.int32()]
+        for batch in batches:
+            for b in steps(batch, "text"):
+                rows = [(p, *r) for p, t in zip(b.column("file_path").to_pylist(), b.column("text").to_pylist()) for r in parse(p, t or "")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     name = F.element_at(F.split("file_path", "/"), -1)
     out = texts.where(name.rlike("|".join(f"^{p}" for p, _ in PARSERS))).select("file_path", "text").mapInArrow(run, SCHEMA)
