@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.patterns import config_path, rule_file, rule_text
@@ -49,6 +49,37 @@ def parse_line(line: str) -> AccessRule | None:
     return AccessRule(kind, package=package, method=method, file_pattern=glob)
 
 
+def parse_lines(files: DataFrame) -> DataFrame:
+    """directory, line_number, type, pattern, package, method, file_pattern: parse_line for every line of
+    rule files (file_path, text), with SQL functions; blanks and comments are left out. A `[` without its `]`
+    is an error."""
+    lines = files.select(F.regexp_replace("file_path", "/?[^/]*$", "").alias("directory"), F.posexplode(F.split("text", "\n")).alias("n", "raw"))
+    text = F.trim(F.regexp_replace(F.split("raw", "#")[0], r"\s+", " "))
+    kept = lines.select("directory", (F.col("n") + 1).alias("line_number"), text.alias("t")).where("t <> ''")
+    closed = F.when(F.col("t").startswith("[") & ~F.col("t").contains("]"), F.raise_error(F.concat(F.lit("no ] in "), "t"))).otherwise(F.col("t"))
+    cut = kept.withColumn("t", closed).withColumn("file_pattern", F.trim(F.regexp_extract("t", r"^\[([^\]]*)\]", 1))).withColumn("t", F.trim(F.regexp_replace("t", r"^\[[^\]]*\]", "")))
+    sign = F.when(F.col("t").startswith("!"), "deny").when(F.col("t").startswith("+"), "override").otherwise("allow")
+    signed = cut.withColumn("type", sign).withColumn("t", F.regexp_replace("t", "^[!+]", ""))
+    named = signed.withColumn("name", F.regexp_extract("t", "^([^:]*):", 1)).withColumn("rest", F.regexp_extract("t", "^[^:]*:(.*)$", 1)).withColumn("paired", F.col("t").contains(":"))
+    negated = F.col("paired") & F.col("rest").startswith("!")
+    return named.select(
+        "directory", "line_number", F.when(negated, "deny").otherwise(F.col("type")).alias("type"), F.when(F.col("paired"), "").otherwise(F.col("t")).alias("pattern"),
+        F.when(F.col("paired"), F.col("name")).otherwise("").alias("package"), F.when(F.col("paired"), F.regexp_replace("rest", "^!", "")).otherwise("").alias("method"), "file_pattern",
+    )
+
+
+def merge_rule_files(configured: DataFrame, files: DataFrame) -> DataFrame:
+    """section, seq, type, pattern, package, method: configured rules (the same columns) and after them, in
+    each section, those of rule files in the order of folder and line. A rule's section is its file pattern, or
+    `**`; the folder that its file is in has no further effect."""
+    read = parse_lines(files).withColumn("section", F.coalesce(F.nullif("file_pattern", F.lit("")), F.lit("**")))
+    last = configured.groupBy("section").agg(F.max("seq").alias("last"))
+    w = Window.partitionBy("section").orderBy("directory", "line_number")  # the rules of one section
+    placed = read.join(last, "section", "left").withColumn("seq", (F.coalesce("last", F.lit(-1)) + F.row_number().over(w)).cast("int"))
+    columns = ["section", "seq", "type", "pattern", "package", "method"]
+    return configured.select(columns).unionByName(placed.select(columns))
+
+
 def rule_matches(rule: AccessRule, package: Column, method: Column) -> Column:
     if rule.package:
         hit = rule_text(package, rule.package)
@@ -83,11 +114,18 @@ def call_violations(nodes: DataFrame, edges: DataFrame, rules: list[AccessRule])
     return chosen.where(F.col("rule_seq").isin(denied)).select("id", "file_path", F.col("line_no").alias("line"), "caller_package", "called_package", "called_method", "rule_seq")
 
 
+#: Rules of a table up to which they are broadcast.
+MOST_RULES = 20_000
+
+
 def fold_table(subjects: DataFrame, rules: DataFrame, match: Column, key: list[str]) -> DataFrame:
     """The fold for rules that are a table (columns seq, type, ...): the greatest seq that matches.
-    The rules are the small side of a theta join; the fold aggregates partially before its shuffle."""
-    met = subjects.join(rules, match)
-    return met.groupBy(*key).agg(F.max_by(F.struct("seq", "type"), "seq").alias("last")).select(*key, F.col("last.seq").alias("seq"), F.col("last.type").alias("type"))
+    The rules are counted; up to MOST_RULES they are the broadcast side of a theta join, as any condition may
+    be given, and more of them are joined in slices of that many. Each slice aggregates before it shuffles."""
+    slices = max(1, -(-rules.count() // MOST_RULES))
+    parts = [rules] if slices == 1 else [rules.where(F.pmod(F.xxhash64("seq"), F.lit(slices)) == k) for k in range(slices)]
+    met = reduce(DataFrame.unionByName, [subjects.join(F.broadcast(p), match).groupBy(*key).agg(F.max_by(F.struct("seq", "type"), "seq").alias("last")) for p in parts])
+    return met.groupBy(*key).agg(F.max("last").alias("last")).select(*key, F.col("last.seq").alias("seq"), F.col("last.type").alias("type"))
 
 
 def specificity(pattern: str) -> tuple[int, str]:
@@ -95,6 +133,12 @@ def specificity(pattern: str) -> tuple[int, str]:
     return (0 if pattern == "**" else 1 if "**" in pattern else 2 if "*" in pattern else 3), pattern
 
 
+def specificity_order(pattern: Column) -> Column:
+    """The same for a column of patterns: sorts as specificity does."""
+    rank = F.when(pattern == "**", 0).when(pattern.contains("**"), 1).when(pattern.contains("*"), 2).otherwise(3)
+    return F.struct(rank.alias("rank"), pattern.alias("pattern"))
+
+
 def ordered_rules(sections: dict[str, list[AccessRule]]) -> list[tuple[str, AccessRule]]:
     """Configuration sections' rules in the order in which they fold."""
     return [(p, r) for p in sorted(sections, key=specificity) for r in sections[p]]

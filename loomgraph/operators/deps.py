@@ -94,3 +94,18 @@ def substitute(text: Column, variables: dict[str, str]) -> Column:
         value = variables[name].replace("\\", "\\\\").replace("$", "\\$")
         text = F.regexp_replace(text, rf"\$\{{{re.escape(name)}(:-[^}}]*)?\}}|\${re.escape(name)}(?![A-Za-z0-9_])", value)
     return F.regexp_replace(text, r"\$\{[A-Za-z0-9_]+:-([^}]*)\}", "$1")
+
+
+def visited_once(jobs: DataFrame) -> DataFrame:
+    """path, git, depth: scan jobs (path, git, depth), each place once at its least depth. A local job is known
+    by its path, another by its repository with the version."""
+    place = F.when(F.col("git") == "", F.concat(F.lit("local:"), "path")).otherwise(F.concat(F.lit("git:"), "git"))
+    return jobs.groupBy(place.alias("job")).agg(F.min("depth").alias("depth"))
+
+
+def walk(roots: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """job, depth: the jobs that a walk visits, level by level: roots (job), and what scanning a job finds
+    (job, next), at most depth levels down. A job that was visited at a lesser depth isn't queued again."""
+    from loomgraph.operators.graph import dependency_walk
+
+    return dependency_walk(found.select(F.col("job").alias("parent"), F.col("next").alias("child")), roots.select(F.col("job").alias("name")), depth).withColumnRenamed("name", "job")

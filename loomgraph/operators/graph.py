@@ -47,18 +47,25 @@ def _checkpoint_dir(spark) -> None:
         import os
         import tempfile
 
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "loomgraph-shared"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + os.path.join(tempfile.gettempdir(), "loomgraph-shared"))
 
 
 def call_paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """path array<bigint>, depth, circular: every call path from the start ids, up to depth calls.
-    A path that comes back to one of its own nodes ends there and is marked."""
+    """path array<bigint>, depth, circular: every call path from the start ids, up to depth calls, for
+    renderings of trees; there may be as many as the depth-th power of the calls of a node. A path that comes
+    back to one of its own nodes ends there and is marked. Each level is checkpointed, so the plan stays flat."""
+    _checkpoint_dir(edges.sparkSession)
     links = edges.where("relationship_type = 'call' AND to_ast_id IS NOT NULL").select(F.col("from_ast_id").alias("_from"), F.col("to_ast_id").alias("_to")).distinct()
     level = start.select(F.array("id").alias("path"), F.lit(0).alias("depth"), F.lit(False).alias("circular"))
     out = level
     for d in range(1, depth + 1):
         open_paths = level.where("NOT circular").withColumn("_from", F.element_at("path", -1))
-        level = open_paths.join(links, "_from").select(F.array_append("path", F.col("_to")).alias("path"), F.lit(d).alias("depth"), F.array_contains("path", F.col("_to")).alias("circular"))
+        level = open_paths.join(links, "_from").select(F.array_append("path", F.col("_to")).alias("path"), F.lit(d).alias("depth"), F.array_contains("path", F.col("_to")).alias("circular")).checkpoint()
+        if level.isEmpty():
+            break
         out = out.union(level)
     return out
 
@@ -89,18 +96,34 @@ def counts(nodes: DataFrame, edges: DataFrame, library_edges: DataFrame) -> Data
 
 
 def dependency_walk(manifest: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """name, depth: transitive dependencies over (parent, child), each at its least depth."""
+    """name, depth: transitive dependencies over (parent, child), each at its least depth. Levels are
+    checkpointed, and the walk ends where a level finds nothing new."""
+    _checkpoint_dir(manifest.sparkSession)
     links = manifest.select(F.col("parent").alias("name"), F.col("child").alias("next")).distinct()
     level = roots.select("name").distinct().withColumn("depth", F.lit(0))
     seen = level
     for d in range(1, depth + 1):
-        level = level.join(links, "name").select(F.col("next").alias("name")).distinct().join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(d))
+        level = level.join(links, "name").select(F.col("next").alias("name")).distinct().join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(d)).checkpoint()
+        if level.isEmpty():
+            break
         seen = seen.union(level)
     return seen
 
 
 def cycles(edges: DataFrame, depth: int) -> DataFrame:
-    """An extension: nodes on a call cycle of at most depth calls."""
-    starts = edges.where("relationship_type = 'call' AND to_ast_id IS NOT NULL").select(F.col("from_ast_id").alias("id")).distinct()
-    found = call_paths(edges, starts, depth).where("circular")
-    return found.where(F.element_at("path", -1) == F.get("path", F.lit(0))).select(F.get("path", F.lit(0)).alias("id")).distinct()
+    """An extension: nodes on a call cycle of at most depth calls. The frontier holds pairs of a start and a
+    node that it reaches, each once however many paths there are between them; nodes that nothing calls, or that
+    call nothing, start none."""
+    _checkpoint_dir(edges.sparkSession)
+    links = edges.where("relationship_type = 'call' AND to_ast_id IS NOT NULL").select(F.col("from_ast_id").alias("id"), F.col("to_ast_id").alias("next")).distinct()
+    links = links.join(links.select(F.col("id").alias("next")).distinct(), "next", "left_semi").select("id", "next")
+    links = links.join(links.select(F.col("next").alias("id")).distinct(), "id", "left_semi").checkpoint()
+    level = links.select(F.col("id").alias("start"), F.col("next").alias("id"))
+    seen, found = level, level.where("start = id").select("start")
+    for _ in range(depth - 1):
+        level = level.where("start <> id").join(links, "id").select("start", F.col("next").alias("id")).distinct()
+        level = level.join(seen, ["start", "id"], "left_anti").checkpoint()
+        if level.isEmpty():
+            break
+        seen, found = seen.union(level), found.union(level.where("start = id").select("start"))
+    return found.select(F.col("start").alias("id")).distinct()

@@ -91,6 +91,22 @@ def resolve_by_name(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     return asked.join(found, "called", "left")
 
 
+def parents(nodes: DataFrame, kinds: tuple[str, ...] = ("method", "field")) -> DataFrame:
+    """id, parent: for nodes of the kinds the type of their package and type name, the least id of several."""
+    types = nodes.where("node_type = 'type' OR node_type LIKE 'type!_%' ESCAPE '!'").groupBy("package_name", "type_name").agg(F.min("id").alias("parent"))
+    return nodes.where(F.col("node_type").isin(*kinds)).select("id", "package_name", "type_name").join(types, ["package_name", "type_name"]).select("id", "parent")
+
+
+def references(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """id, file_path, line, what: where a name is used and defined, for renaming. The definition is the node
+    of that full name, else one whose full name ends in `.name`, the least id of several."""
+    target = resolve_by_name(nodes.sparkSession.createDataFrame([(name,)], "called string"), nodes).where("node_id IS NOT NULL").select(F.col("node_id").alias("target"))
+    users = edges.join(target, F.col("to_ast_id") == F.col("target")).select(F.col("from_ast_id").alias("id"), F.col("line_no").alias("line"))
+    used = users.join(nodes.select("id", "file_path"), "id").select("id", "file_path", "line", F.lit("reference").alias("what"))
+    defined = nodes.join(target, F.col("id") == F.col("target")).select("id", "file_path", F.col("start_line").alias("line"), F.lit("definition").alias("what"))
+    return used.unionByName(defined)
+
+
 def first_by_key(nodes: DataFrame, key: list[str]) -> DataFrame:
     """Of repeated keys the row of least id."""
     w = Window.partitionBy(*key).orderBy("id")

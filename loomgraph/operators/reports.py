@@ -94,10 +94,40 @@ def consolidated(violations: DataFrame) -> DataFrame:
     return violations.agg(F.count_distinct("file_path").alias("files"), F.count_distinct("rule").alias("rules"), F.count_distinct(origin).alias("linters"), F.count_if(origin == "import-rules").alias("own"), F.count_if(origin != "import-rules").alias("external"))
 
 
-def as_json(violations: DataFrame) -> DataFrame:
-    """One row: {"summary": ..., "violations": [...]}; for reports that a person reads."""
-    rows = F.sort_array(F.collect_list(F.struct("file_path", "line", "rule", "message")))
-    return violations.agg(F.to_json(F.struct(F.struct(F.count("*").alias("total")).alias("summary"), rows.alias("violations"))).alias("json"))
+def json_lines(violations: DataFrame) -> DataFrame:
+    """part, id, line: the document {"summary": ..., "violations": [...]} as lines in the order of part and
+    the violation (file, line, rule, message, id): a head, one line for each violation and an end. No row
+    holds more than one violation; all but the first start with a comma."""
+    place = F.struct("file_path", "line", "rule", "message", "id")
+    top = violations.agg(F.count("*").alias("total"), F.min(place).alias("least"))
+    head = top.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("id"), F.concat(F.lit('{"summary":'), F.to_json(F.struct("total")), F.lit(',"violations":[')).alias("line"))
+    told = violations.join(F.broadcast(top), F.lit(True))  # one row
+    comma = F.when(place == F.col("least"), "").otherwise(",")
+    rows = told.select(F.lit(1).alias("part"), "id", F.concat(comma, F.to_json(F.struct("file_path", "line", "rule", "message"))).alias("line"))
+    end = top.select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("id"), F.lit("]}").alias("line"))
+    return head.unionByName(rows).unionByName(end)
+
+
+def html_lines(violations: DataFrame) -> DataFrame:
+    """part, id, line: an HTML table as lines, a head, one row for each violation, and an end."""
+    cell = lambda c: F.concat(F.lit("<td>"), escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>"))
+    names = ("file_path", "line", "rule", "message")
+    one = violations.sparkSession.range(1)
+    fixed = lambda part, text: one.select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("id"), F.lit(text).alias("line"))
+    rows = violations.select(F.lit(1).alias("part"), "id", F.concat(F.lit("<tr>"), *map(cell, names), F.lit("</tr>")).alias("line"))
+    titles = "".join(f"<th>{n}</th>" for n in ("File", "Line", "Rule", "Message"))
+    return fixed(0, f"<table><tr>{titles}</tr>").unionByName(rows).unionByName(fixed(2, "</table>"))
+
+
+def escaped(text: Column) -> Column:
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return text
+
+
+def by_category(rows: DataFrame, column: str, default: str = "") -> DataFrame:
+    """Rows by a category column, blank ones under the default."""
+    return rows.groupBy(F.coalesce(F.nullif(column, F.lit("")), F.lit(default)).alias(column)).agg(F.count("*").alias("n"))
 
 
 def csv_lines(violations: DataFrame) -> DataFrame:
@@ -129,3 +159,23 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     """Children per parent node, each list in line order."""
     kids = nodes.where("parent_id IS NOT NULL").groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "id"))), lambda s: s["id"]).alias("children"))
     return kids.select("parent_id", F.size("children").alias("n_children"), F.array_join(F.transform("children", lambda c: c.cast("string")), ",").alias("children"))
+
+
+def display_tree(nodes: DataFrame, workdir: str = "", dirs: bool = True, files: bool = True, packages: bool = True) -> DataFrame:
+    """kind, key, parent, n: the levels of a tree of folders, files, packages (of a file) and nodes, with the
+    number of nodes below each. Hidden levels are left out and what is below them moves up to the next level
+    shown, or to the top (parent null). Virtual files have no folders, those of databases no packages. Nodes are
+    counted per file and package before these are exploded into their levels."""
+    path = relative(F.col("file_path"), workdir)
+    virtual = path.contains("://")
+    parts = F.split(F.ltrim(path, F.lit("/")), "/")
+    level = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    none = F.array().cast("array<struct<kind:string,key:string>>")
+    folders = F.when(virtual | (F.size(parts) < 2), none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: level("folder", F.array_join(F.slice(parts, F.lit(1), k), "/"))))
+    named = F.when(path.startswith("sql://") | (F.col("package_name") == ""), none).otherwise(F.array(level("package", F.concat(path, F.lit("#"), "package_name"))))
+    shown = F.concat(*[x for x, on in ((folders, dirs), (F.array(level("file", path)), files), (named, packages)) if on] or [none])
+    parent = lambda i: F.when(i > 0, F.get("levels", i - 1)["key"])
+    groups = nodes.groupBy("file_path", "package_name").agg(F.count("*").alias("n")).withColumn("levels", shown)
+    above = groups.select(F.explode(F.transform("levels", lambda x, i: F.struct(x["kind"].alias("kind"), x["key"].alias("key"), parent(i).alias("parent")))).alias("l"), "n").groupBy("l.kind", "l.key", "l.parent").agg(F.sum("n").alias("n"))
+    leaves = nodes.withColumn("levels", shown).select(F.lit("node").alias("kind"), F.col("id").cast("string").alias("key"), parent(F.size("levels")).alias("parent"), F.lit(1).cast("long").alias("n"))
+    return above.unionByName(leaves)

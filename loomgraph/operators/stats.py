@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLEAN_RUNS, DIRTY_RUNS, UP, DOWN, LEAST, MOST = 5, 3, 1.1, 0.9, 0.5, 2.0
@@ -27,20 +27,42 @@ def record(runs: DataFrame, new: DataFrame) -> DataFrame:
     return runs.unionByName(fresh)
 
 
+def islands(runs: DataFrame, *order: str) -> DataFrame:
+    """KEY, island, clean, n: maximal stretches of equal outcome (clean or not) of each tool's runs in the
+    given order, which starts with executed_at, numbered from one. Stretches are found within days first,
+    so that no window is larger than a day of one tool and folder; days are then joined by their first and
+    last outcomes. A null violation count isn't clean."""
+    day = [*KEY, "day"]
+    w = Window.partitionBy(*day).orderBy(*order)
+    clean = F.coalesce(F.col("violation_count") == 0, F.lit(False))
+    marked = runs.withColumns({"day": F.to_date("executed_at"), "clean": clean})
+    marked = marked.withColumn("change", F.coalesce(F.lag("clean").over(w) != F.col("clean"), F.lit(True)).cast("int"))
+    local = marked.withColumn("local", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*day, "local", "clean").agg(F.count("*").alias("n"))
+    v = Window.partitionBy(*KEY).orderBy("day")
+    days = local.groupBy(*day).agg(F.max("local").alias("most"), F.min_by("clean", "local").alias("first"), F.max_by("clean", "local").alias("last"))
+    joined = days.withColumn("joined", F.coalesce(F.lag("last").over(v) == F.col("first"), F.lit(False)).cast("int"))
+    before = F.coalesce(F.sum(F.col("most") - F.col("joined")).over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = joined.select(*day, (before - F.col("joined")).alias("shift"))
+    return local.join(shifts, day).groupBy(*KEY, (F.col("shift") + F.col("local")).alias("island"), "clean").agg(F.sum("n").alias("n"))
+
+
 def adaptation(runs: DataFrame, start: float = 1.0) -> DataFrame:
     """factor, clean and dirty: the state after folding each tool's runs by time. After CLEAN_RUNS
     clean runs in a row every clean run raises the factor, after DIRTY_RUNS dirty ones every dirty
-    run lowers it. The fold is a JVM-side higher-order function over the sorted runs."""
-    ordered = F.array_sort(F.collect_list(F.struct("executed_at", "violation_count")))
-    init = F.struct(F.lit(start).alias("factor"), F.lit(0).alias("clean"), F.lit(0).alias("dirty"))
+    run lowers it. Only stretches long enough to move the factor are folded, each in one step, as the
+    factor moves one way within a stretch."""
+    found = islands(runs, "executed_at", "violation_count")
+    steps = F.when(F.col("clean"), F.col("n") - (CLEAN_RUNS - 1)).otherwise(F.col("n") - (DIRTY_RUNS - 1))
+    moves = F.array_sort(F.collect_list(F.when(steps > 0, F.struct("island", "clean", steps.alias("steps")))))
 
-    def step(state: Column, run: Column) -> Column:
-        clean = F.when(run["violation_count"] == 0, state["clean"] + 1).otherwise(0)
-        dirty = F.when(run["violation_count"] > 0, state["dirty"] + 1).otherwise(0)
-        factor = F.when(clean >= CLEAN_RUNS, F.least(F.lit(MOST), state["factor"] * UP)).when(dirty >= DIRTY_RUNS, F.greatest(F.lit(LEAST), state["factor"] * DOWN)).otherwise(state["factor"])
-        return F.struct(factor.alias("factor"), clean.alias("clean"), dirty.alias("dirty"))
+    def step(factor: Column, move: Column) -> Column:
+        up = F.least(F.lit(MOST), factor * F.pow(F.lit(UP), move["steps"]))
+        return F.when(move["clean"], up).otherwise(F.greatest(F.lit(LEAST), factor * F.pow(F.lit(DOWN), move["steps"])))
 
-    return runs.groupBy(*KEY).agg(F.aggregate(ordered, init, step).alias("s")).select(*KEY, "s.*")
+    last = F.max(F.struct("island", "clean", "n")).alias("last")
+    folded = found.groupBy(*KEY).agg(F.aggregate(moves, F.lit(start), step).alias("factor"), last)
+    streak = lambda clean: F.when(F.col("last.clean") == clean, F.col("last.n")).otherwise(0).cast("int")
+    return folded.select(*KEY, "factor", streak(True).alias("clean"), streak(False).alias("dirty"))
 
 
 def base_debounce(avg_ms: Column) -> Column:
@@ -74,11 +96,10 @@ def category(avg_ms: Column) -> Column:
 
 
 def streaks(runs: DataFrame) -> DataFrame:
-    """Runs of equal outcome (clean or not) per tool: gaps and islands."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*KEY).orderBy("executed_at", "duration_ms")
-    clean = runs.withColumn("clean", F.col("violation_count") == 0)
-    change = F.coalesce(F.lag("clean").over(w) != F.col("clean"), F.lit(True)).cast("int")
-    marked = clean.withColumn("change", change).withColumn("island", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*KEY, "island", "clean").agg(F.count("*").alias("runs"))
+    """Runs of equal outcome (clean or not) per tool, in order."""
+    return islands(runs, "executed_at", "duration_ms").withColumnRenamed("n", "runs")
+
+
+def enabled(settings: DataFrame) -> DataFrame:
+    """linter: the tools that some configuration enables, each once."""
+    return settings.where("enabled").select(F.col("linter_name").alias("linter")).distinct()

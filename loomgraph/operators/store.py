@@ -72,6 +72,33 @@ def merge_libraries(libraries: DataFrame, edges: DataFrame, new_libraries: DataF
     return libraries.unionByName(added), edges.join(gone, "ast_id", "left_anti").unionByName(moved)
 
 
+def merge_file_results(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables nodes, edges, libraries, library_edges and metadata after files were analysed anew. `new` holds
+    what the analysis found, its metadata naming the files, also those that have no nodes now; ids of its nodes
+    are its own, and its edges use them (an end that isn't among them is an id of the old tables). Nodes whose
+    natural key stays keep their ids and take the new data, others get an id from their key, and those that
+    are gone take the edges at them along. Edges and library edges of the files are replaced, library nodes are
+    matched by key, metadata rows replaced."""
+    files = new["metadata"].select("file_path").distinct()
+    key = list(NATURAL_KEY)
+    known = old["nodes"].join(files, "file_path", "left_semi").groupBy(*key).agg(F.min("id").alias("_known"))
+    placed = new["nodes"].join(known, key, "left").withColumn("_id", F.coalesce("_known", F.xxhash64(*key)))
+    ids = placed.select(F.col("id").alias("_new"), "_id")
+    merged = placed.withColumn("id", F.col("_id")).select(old["nodes"].columns).dropDuplicates(["id"])
+    nodes = old["nodes"].join(files, "file_path", "left_anti").unionByName(merged)
+
+    def moved(rows: DataFrame, column: str) -> DataFrame:
+        return rows.join(ids.withColumnRenamed("_new", column), column, "left").withColumn(column, F.coalesce("_id", column)).drop("_id")
+
+    before = old["nodes"].join(files, "file_path", "left_semi").select("id")
+    rest = old["edges"].join(before.select(F.col("id").alias("from_ast_id")), "from_ast_id", "left_anti")
+    edges = rest.unionByName(moved(moved(new["edges"], "from_ast_id"), "to_ast_id").select(old["edges"].columns))
+    vanished = before.join(merged.select("id"), "id", "left_anti")
+    edges = edges.join(vanished.select(F.col("id").alias("to_ast_id")), "to_ast_id", "left_anti")
+    libraries, library_edges = merge_libraries(old["libraries"], old["library_edges"], new["libraries"], moved(new["library_edges"], "ast_id"), old["nodes"], nodes, files)
+    return {"nodes": nodes, "edges": edges, "libraries": libraries, "library_edges": library_edges, "metadata": upsert(old["metadata"], new["metadata"], ["file_path"])}
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """New rows replace old ones of the same key."""
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)

@@ -31,21 +31,9 @@ MANIFEST = "CASE p_partkey % 4 WHEN 0 THEN concat('a', p_partkey, '/go.mod') WHE
 query("s34_manifest_jobs", f"SELECT {MANIFEST} AS file_path FROM part WHERE p_partkey % 4 <> 2")(
     lambda t: t.part.select(F.expr(MANIFEST).alias("file_path")).where(F.element_at(F.split("file_path", "/"), -1).rlike("|".join(["^" + p for p, _ in manifests.PARSERS] + ["^" + p for p in manifests.JVM])))
 )
-LINES = ["!internal", "+internal/api", "# comment", "", "[*.go] fmt:!Println"]
-query("s35_rule_rows", "SELECT * FROM (VALUES (0, 'deny', 'internal', '', '', ''), (1, 'override', 'internal/api', '', '', ''), (2, 'deny', '', 'fmt', 'Println', '*.go')) r(seq, type, pattern, package, method, file_pattern)")(
-    lambda t: access.rules_frame(t.spark, [r for r in map(access.parse_line, LINES) if r])
-)
-query("s37_configuration_rules", "SELECT * FROM (VALUES (0, 'deny', 'a/', '', '', ''), (1, 'deny', '', 'fmt', 'Print*', '')) r(seq, type, pattern, package, method, file_pattern)")(
-    lambda t: access.rules_frame(t.spark, [r for _, r in access.ordered_rules(config.load('variables: {v: a}\nrules: {"**": {imports: ["!${v}/"]}}\nbuiltin_rules: [no_fmt_print]')["sections"])])
-)
 query("s51_call_violations", "SELECT e.id FROM ast_relationships e JOIN ast_nodes a ON a.id = e.from_ast_id JOIN ast_nodes b ON b.id = e.to_ast_id WHERE e.relationship_type = 'call' AND b.package_name = 'pkg1' AND b.method_name LIKE 'B%'")(
     lambda t: access.call_violations(t.ast_nodes, t.ast_relationships, [access.parse_line("pkg1:!B*")]).select("id")
 )
-PATTERNS = ("pkg1:User*", "*Service*", "go:pkg2:*:B*", "@**/*.go:pkg3")
-PARSED = [P.parse_pattern(p) for p in PATTERNS]
-query("f01_parsed_patterns", f"SELECT * FROM (VALUES {', '.join(repr((i, p.package, p.type, p.method, p.language, p.file_path)) for i, p in enumerate(PARSED))}) p(seq, package, type, method, language, file_glob)")(
-    lambda t: t.spark.createDataFrame([(i, p.package, p.type, p.method, p.language, p.file_path) for i, p in enumerate(map(P.parse_pattern, PATTERNS))], "seq int, package string, type string, method string, language string, file_glob string")
-)
 query("f31_excluded_folders", f"SELECT file_path FROM {PATHS} x WHERE NOT list_contains(string_split(file_path, '/'), 'pkg1')")(lambda t: _paths(t).where(files.visible(F.col("file_path"), ("pkg1",))))
 query("f38_location_lines", "SELECT id, concat(file_path, ':', start_line) AS location FROM ast_nodes WHERE node_type = 'method'")(lambda t: reports.locations(t.ast_nodes.where("node_type = 'method'")).select("id", "location"))
 query("j03_libraries_of_node", "SELECT r.id, l.package FROM library_relationships r LEFT JOIN library_nodes l ON l.id = r.library_id WHERE r.ast_id = 7")(lambda t: lookup.with_library(t.library_relationships.where("ast_id = 7"), t.library_nodes).select("id", "package"))
@@ -53,17 +41,8 @@ query("j13_foreign_keys", "SELECT count(*) AS edges, count(*) FILTER (n_regionke
 query("j21_module_resolution", "SELECT id, CASE WHEN id % 3 = 0 THEN 'stdlib' WHEN id % 3 = 1 THEN 'relative' ELSE 'third-party' END AS origin FROM ast_nodes")(
     lambda t: t.ast_nodes.select("id", lookup.resolve_module(F.when(F.col("id") % 3 == 0, "os.path").when(F.col("id") % 3 == 1, ".x").otherwise("numpy"), "python").alias("origin"))
 )
-query("a25_enabled_linters", "SELECT * FROM (VALUES ('ruff'), ('vale')) l(linter)")(lambda t: t.spark.createDataFrame([(x,) for x in config.enabled_linters({"ruff": {"enabled": True}, "eslint": {}, "vale": {"enabled": True}})], "linter string"))
-query("a28_group_by_category", "SELECT rule, count(*) AS n FROM violations GROUP BY 1")(lambda t: t.violations.groupBy("rule").agg(F.count("*").alias("n")))
 query("o07_sorted_folders", "SELECT package_name, string_agg(DISTINCT node_type, ',' ORDER BY node_type) AS kinds FROM ast_nodes GROUP BY 1")(lambda t: t.ast_nodes.groupBy("package_name").agg(F.array_join(F.sort_array(F.collect_set("node_type")), ",").alias("kinds")))
 query("o08_languages_by_count", f"SELECT e.language, count(*) AS n FROM ast_nodes JOIN (VALUES {VALUES}) e(extension, language) ON extension = regexp_extract(file_path, '\\.([a-z]+)$', 1) GROUP BY 1")(lambda t: reports.sources(t.ast_nodes).orderBy(F.desc("n"), "language"))
-query("p02_extractor_by_extension", f"SELECT file_path, e.language FROM {PATHS} x JOIN (VALUES {VALUES}) e(extension, language) ON extension = regexp_extract(file_path, '\\.([a-z]+)$', 1)")(
-    lambda t: _paths(t).withColumn("extension", F.regexp_extract("file_path", r"\.([a-z]+)$", 1)).join(_extensions(t), "extension").select("file_path", "language")
-)
-query("u07_visited_once", "SELECT name, min(depth) AS depth FROM dependencies GROUP BY 1")(lambda t: t.dependencies.groupBy("name").agg(F.min("depth").alias("depth")))
-query("u08_merged_rule_rows", "SELECT * FROM (VALUES ('**', 'pkg1'), ('*.go', 'unsafe'), ('**', 'pkg2')) r(section, pattern)")(
-    lambda t: t.spark.createDataFrame([("**", "pkg1"), ("*.go", "unsafe")], "section string, pattern string").unionByName(t.spark.createDataFrame([("**", "pkg2")], "section string, pattern string"))
-)
 query("x06_virtual_path_hash", "SELECT page_id, sha256(url) AS h FROM pages")(lambda t: t.pages.select("page_id", F.sha2("url", 256).alias("h")))
 query("x13_since_duration", "SELECT id FROM violations WHERE stored_at >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY")(lambda t: t.violations.where(F.col("stored_at") >= F.expr(f"TIMESTAMP_NTZ '2024-01-31 00:00:00' - INTERVAL {int(paths.duration_seconds('2w'))} SECONDS")).select("id"))
 query("x32_interpolated_pattern", "SELECT id FROM ast_nodes WHERE package_name = 'pkg3'")(lambda t: t.ast_nodes.where(P.query_predicate(P.parse_pattern(text.interpolate("${p}:*", {"p": "pkg3"})))).select("id"))

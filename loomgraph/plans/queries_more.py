@@ -45,7 +45,6 @@ for _id, _file, _body in (
     query(_id, f"SELECT count(DISTINCT split_part(name, ' ', 2)) AS n FROM dependencies")(  # noqa: F541
         lambda t, file=_file, body=_body: manifests.scan(t.dependencies.select(F.split("name", " ")[1].alias("w")).distinct().select(F.concat("w", F.lit("/" + file)).alias("file_path"), F.format_string(body, "w").alias("text"))).agg(F.count("*").alias("n"))
     )
-query("s19_openapi")(lambda t: extract.openapi(t.part.select(F.concat("p_name", F.lit(".json")).alias("file_path"), F.format_string('{"openapi": "3", "info": {"title": "%s", "version": "1.0"}, "paths": {"/x": {"get": {"parameters": [{"name": "q"}]}}}, "components": {"schemas": {"S%s": {"properties": {"a": {"type": "string"}}}}}}', "p_name", F.col("p_partkey").cast("string")).alias("text"))))
 COLUMNS = "SELECT 's' AS schema, CASE WHEN p_partkey % 3 = 0 THEN 'view' ELSE 'table' END AS kind, concat('t', p_partkey) AS tab FROM part"
 query("s18_sql_schema", "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'type_view' ELSE 'type_table' END AS node_type, concat('t', p_partkey) AS type_name FROM part UNION ALL SELECT 'field_column', concat('t', p_partkey) FROM part")(
     lambda t: extract.sql_schema(
@@ -54,7 +53,6 @@ query("s18_sql_schema", "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'type_view' ELS
         t.spark.createDataFrame([], "schema string, table string, column string, to_table string, to_column string"),
     )[0].select("node_type", "type_name")
 )
-query("s43_json_report", "SELECT count(*) AS total FROM violations")(lambda t: reports.as_json(t.violations).select(F.get_json_object("json", "$.summary.total").cast("long").alias("total")))
 for _id, _language, _text in (("s12_extract_go", "go", "package p\n\nfunc (s *T) {}() int {{\n\tif x {{\n\t}}\n\treturn 1\n}}\n"), ("s14_extract_java", "java", "package p;\nclass T {{\n  int {}(int a) {{\n    if (a > 1) {{ return 1; }}\n    return 2;\n  }}\n}}\n"), ("s15_extract_javascript", "javascript", "function {}(a) {{\n  if (a) {{ return 1; }}\n  return 2;\n}}\n"), ("s16_extract_typescript", "typescript", "class T {{\n  {}(a: number) {{\n    if (a) {{ return 1; }}\n    return 2;\n  }}\n}}\n")):
     query(_id, "SELECT id, method_name, 2 AS cyclomatic_complexity FROM ast_nodes WHERE node_type = 'method'")(
         lambda t, language=_language, body=_text: extract.extract(t.ast_nodes.where("node_type = 'method'").select(F.col("id").cast("string").alias("file_path"), F.lit(language).alias("language"), F.replace(F.lit(body.replace("{{", "{").replace("}}", "}")) if language == "none" else F.lit(body.format("NAME")), F.lit("NAME"), F.col("method_name")).alias("text"))).where("node_type = 'method'").select(F.col("file_path").cast("long").alias("id"), "method_name", "cyclomatic_complexity")
@@ -70,13 +68,11 @@ FUNCTION = "struct(method_name as name, transform(sequence(1, greatest(parameter
 query("f28_long_names", "SELECT id, 1 + greatest(parameter_count, 1) AS n_names, CASE WHEN strlen(method_name) > 8 THEN 1 ELSE 0 END + greatest(parameter_count, 1) AS n_long FROM ast_nodes WHERE node_type = 'method'")(
     lambda t: t.ast_nodes.where("node_type = 'method'").withColumn("names", text.names_of(F.expr(FUNCTION))).select("id", F.size("names").alias("n_names"), F.size(F.filter("names", lambda n: F.octet_length(n) > 8)).alias("n_long"))
 )
-query("f29_multi_line_comments", "SELECT file_path, type FROM comments WHERE type = 'multi_line'")(lambda t: t.comments.groupBy("file_path").agg(F.filter(F.collect_list("type"), lambda c: c == "multi_line").alias("c")).where(F.size("c") > 0).select("file_path", F.get("c", F.lit(0)).alias("type")))
 query("f30_poor_comments", "SELECT id FROM comments WHERE contains(lower(text), 'deprecated') OR length(text) < 60")(lambda t: t.comments.withColumn("issues", F.array_compact(F.array(F.when(F.lower("text").contains("deprecated"), "outdated"), F.when(F.length("text") < 60, "short")))).where(F.size("issues") > 0).select("id"))
 query("f32_first_analyzer", f"SELECT file_path, CASE WHEN starts_with(file_path, '/work/pkg1/') THEN 'one' WHEN file_path LIKE '%.go' THEN 'go' END AS analyzer FROM {PATHS} x")(lambda t: _paths(t).select("file_path", config.first_analyzer(F.col("file_path"), [("/work/pkg1/**", "one"), ("**/*.go", "go")]).alias("analyzer")))
 query("f34_node_map", "SELECT id, concat(node_type, ':', cyclomatic_complexity) AS v FROM ast_nodes")(lambda t: t.ast_nodes.select("id", F.struct("node_type", "cyclomatic_complexity").alias("m")).select("id", F.concat("m.node_type", F.lit(":"), "m.cyclomatic_complexity").alias("v")))
 query("f36_table_rows", "SELECT file_path, package_name, type_name, method_name, cyclomatic_complexity, line_count FROM ast_nodes")(lambda t: t.ast_nodes.select("file_path", "package_name", "type_name", "method_name", "cyclomatic_complexity", "line_count"))
 query("f37_relative_path", f"SELECT substr(file_path, 7) AS path FROM {PATHS} x")(lambda t: _paths(t).select(reports.relative(F.col("file_path"), "/work").alias("path")))
-query("p07_forall_exists", "SELECT package_name, bool_and(line_count > 1) AS every, bool_or(cyclomatic_complexity > 25) AS some FROM ast_nodes GROUP BY 1")(lambda t: t.ast_nodes.groupBy("package_name").agg(F.collect_list(F.struct("line_count", "cyclomatic_complexity")).alias("n")).select("package_name", F.forall("n", lambda x: x["line_count"] > 1).alias("every"), F.exists("n", lambda x: x["cyclomatic_complexity"] > 25).alias("some")))
 
 # ---- joins, aggregates, sets
 query("j01_external_edges", "SELECT e.id FROM ast_relationships e JOIN ast_nodes a ON a.id = e.from_ast_id LEFT JOIN ast_nodes b ON b.id = e.to_ast_id WHERE e.to_ast_id IS NULL OR b.package_name <> a.package_name")(
@@ -85,15 +81,11 @@ query("j01_external_edges", "SELECT e.id FROM ast_relationships e JOIN ast_nodes
 query("j08_edge_ends", "SELECT e.id, a.file_path AS caller, b.file_path AS called FROM ast_relationships e JOIN ast_nodes a ON a.id = e.from_ast_id LEFT JOIN ast_nodes b ON b.id = e.to_ast_id WHERE e.relationship_type = 'call'")(
     lambda t: t.ast_relationships.where("relationship_type = 'call'").join(t.ast_nodes.select(F.col("id").alias("from_ast_id"), F.col("file_path").alias("caller")), "from_ast_id").join(t.ast_nodes.select(F.col("id").alias("to_ast_id"), F.col("file_path").alias("called")), "to_ast_id", "left").select("id", "caller", "called")
 )
-query("j16_parent_by_key", "SELECT c.id, min(p.id) AS parent FROM ast_nodes c JOIN ast_nodes p ON p.node_type = 'type' AND p.package_name = c.package_name AND p.type_name = c.type_name WHERE c.node_type = 'method' GROUP BY 1")(
-    lambda t: t.ast_nodes.where("node_type = 'method'").select("id", "package_name", "type_name").join(t.ast_nodes.where("node_type = 'type'").groupBy("package_name", "type_name").agg(F.min("id").alias("parent")), ["package_name", "type_name"]).select("id", "parent")
-)
 query("a11_repositories", "SELECT count(DISTINCT nullif(git, '')) AS n FROM dependencies")(lambda t: t.dependencies.agg(F.count_distinct(F.nullif("git", F.lit(""))).alias("n")))
 QUALITY = {"**": {"max": 500}, "/work/pkg1/**": {"max": 100}, "*.py": {"max": 200}, "*.md": {"max": 0}}
 query("a26_quality_setting", f"SELECT file_path, CASE WHEN file_path LIKE '%.py' THEN 200 WHEN starts_with(file_path, '/work/pkg1/') THEN 100 ELSE 500 END AS max FROM {PATHS} x")(lambda t: _paths(t).select("file_path", config.quality_setting(F.col("file_path"), QUALITY, "max").alias("max")))
 query("a27_excludes", "SELECT id, CASE WHEN language = 'go' THEN 'vendor,go' ELSE concat('vendor,', language) END AS excludes FROM ast_nodes")(lambda t: t.ast_nodes.select("id", F.array_join(config.excludes(F.array(F.lit("vendor")), F.array("language"), F.array(F.lit("vendor"), F.col("language"))), ",").alias("excludes")))
 query("a30_regroup_by_file", "SELECT file_path, count(*) AS n FROM violations GROUP BY 1")(lambda t: t.violations.repartition("file_path").groupBy("file_path").agg(F.count("*").alias("n")))
-query("w02_section_order", "SELECT * FROM (VALUES ('**', 0), ('src/**', 1), ('*.go', 2), ('main.go', 3)) s(section, seq)")(lambda t: t.spark.createDataFrame([(s, i) for i, s in enumerate(sorted(["main.go", "*.go", "**", "src/**"], key=access.specificity))], "section string, seq int"))
 query("o04_roots_by_name", f"SELECT id, {NAME} AS name FROM ast_nodes WHERE id NOT IN (SELECT to_ast_id FROM ast_relationships WHERE relationship_type = 'call' AND to_ast_id IS NOT NULL AND from_ast_id IN (SELECT id FROM ast_nodes))")(lambda t: _roots(t))
 query("o06_last_run", "SELECT max(executed_at) AS executed_at FROM linter_executions")(lambda t: t.linter_executions.orderBy(F.desc("executed_at")).limit(1).select("executed_at"))
 query("u03_result_merge", "SELECT id FROM ast_nodes UNION ALL SELECT id FROM library_nodes")(lambda t: t.ast_nodes.select("id").unionByName(t.library_nodes.select("id")))

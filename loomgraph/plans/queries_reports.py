@@ -203,8 +203,6 @@ query("s49_lines_at", f"SELECT file_path, 2 AS line, string_split(text, chr(10))
 query("s50_view", "SELECT doc_id AS id, greatest(1, 2 - 2) AS first_line, array_to_string(string_split(text, chr(10))[1:6], chr(10)) AS source FROM documents WHERE len(string_split(text, chr(10))) >= 2")(
     lambda t: files.view(_texts(t), t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("file_path"), F.lit(2).alias("start_line"), F.lit(4).alias("end_line")))
 )
-query("s17_markdown")(lambda t: extract.markdown(t.pages.select(F.col("url").alias("file_path"), F.regexp_replace("html", r"<h1>|<h2>", "\n# ").alias("text"))))
-query("s13_extract_python")(lambda t: extract.extract(t.ast_nodes.where("node_type = 'method'").select("file_path", F.lit("python").alias("language"), F.format_string("class %s:\n    def %s(self, a, b=1):\n        return a if a else b\n", "type_name", "method_name").alias("text"))))
 query("s21_go_mod", "SELECT concat(type, '/go.mod') AS file_path, concat('example.com/', replace(name, ' ', '-')) AS name, concat(version, '.0.0') AS version, 'go' AS type, '' AS git, indirect, CAST(3 AS INT) AS line FROM dependencies")(
     lambda t: manifests.go_mod(t.dependencies.select(F.concat("type", F.lit("/go.mod")).alias("file_path"), F.concat(F.lit("module m\n\nrequire example.com/"), F.replace("name", F.lit(" "), F.lit("-")), F.lit(" "), "version", F.lit(".0.0"), F.when(F.col("indirect"), " // indirect").otherwise("")).alias("text")))
 )

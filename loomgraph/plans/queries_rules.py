@@ -166,9 +166,6 @@ query("j11_touching_edges", "SELECT id, from_ast_id, coalesce(to_ast_id, -1) AS
     lambda t: lookup.touching(t.ast_relationships, t.ast_nodes.where("package_name = 'pkg1'")).select("id", "from_ast_id", F.coalesce("to_ast_id", F.lit(-1)).alias("to_ast_id"))
 )
 query("j12_edges_of_node", "SELECT id, line_no FROM ast_relationships WHERE from_ast_id = 7 AND relationship_type = 'call'")(lambda t: t.ast_relationships.where("from_ast_id = 7 AND relationship_type = 'call'").select("id", "line_no"))
-query("j14_resolve_by_name", f"SELECT v.id, min(n.id) AS node_id FROM violations v JOIN (SELECT id, {NAME} AS name FROM ast_nodes) n ON n.id = v.called_id GROUP BY 1")(
-    lambda t: t.violations.join(t.ast_nodes.select(F.col("id").alias("called_id"), N.full_name().alias("name")), "called_id").groupBy("id").agg(F.min("called_id").alias("node_id"))
-)
 ASKED = f"SELECT v.id, CASE v.id % 5 WHEN 0 THEN name WHEN 1 THEN regexp_extract(name, '[^.]+$') WHEN 2 THEN regexp_extract(name, '[^.]+[.][^.]+$') ELSE concat('gone.', name) END AS called FROM violations v JOIN (SELECT id, {NAME} AS name FROM ast_nodes) n ON n.id = v.called_id"
 query(
     "j14_resolve_called_names",
@@ -185,9 +182,6 @@ def _asked(t):
     return t.violations.join(t.ast_nodes.select(F.col("id").alias("called_id"), N.full_name().alias("name")), "called_id").select("id", called.alias("called"))
 
 
-query("j19_references", "SELECT from_ast_id AS id, 'reference' AS what FROM ast_relationships WHERE to_ast_id = 5 UNION ALL SELECT id, 'definition' FROM ast_nodes WHERE id = 5")(
-    lambda t: t.ast_relationships.where("to_ast_id = 5").select(F.col("from_ast_id").alias("id"), F.lit("reference").alias("what")).unionByName(t.ast_nodes.where("id = 5").select("id", F.lit("definition").alias("what")))
-)
 query("j20_resolve_library", "SELECT DISTINCT package, framework FROM library_nodes")(lambda t: lookup.resolve_library(t.library_nodes, t.library_nodes.select("package", "framework").distinct()))
 query("w07_first_by_key", "SELECT min(id) AS id FROM ast_nodes GROUP BY package_name, type_name")(lambda t: lookup.first_by_key(t.ast_nodes, ["package_name", "type_name"]).select("id"))
 query("s07_parameterised_sql", "SELECT id FROM ast_nodes WHERE cyclomatic_complexity > 9 AND package_name = 'pkg2'")(lambda t: t.spark.sql("SELECT id FROM {n} WHERE cyclomatic_complexity > :c AND package_name = :p", args={"c": 9, "p": "pkg2"}, n=t.ast_nodes))

@@ -267,14 +267,28 @@ def openapi(texts: DataFrame) -> DataFrame:
     return types.unionByName(fields).unionByName(methods)
 
 
-def sql_schema(spark: Any, columns: DataFrame, foreign_keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a database: (schema, table, kind, column, type) rows as in an information
-    schema, and (schema, table, column, to_table, to_column) rows."""
+def sql_schema(spark: Any, columns: DataFrame, foreign_keys: DataFrame, enums: DataFrame | None = None, indexes: DataFrame | None = None, procedures: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a database, from rows as an information schema has them: columns (schema, table, kind,
+    column, type), foreign keys (schema, table, column, to_table, to_column), enums (schema, enum, value),
+    indexes (schema, table, index) and procedures (schema, name). Tables, views and enums are types, columns and
+    enum values fields, indexes methods of their table and procedures methods. parent_id is the node of
+    the table, view or enum that a node belongs to."""
     none = F.lit("")
-    tables = columns.select("schema", "table", "kind").distinct().select(F.concat(F.lit("sql://"), "schema").alias("file_path"), F.col("schema").alias("package_name"), F.col("table").alias("type_name"), none.alias("field_name"), F.concat(F.lit("type_"), "kind").alias("node_type"))
-    fields = columns.select(F.concat(F.lit("sql://"), "schema").alias("file_path"), F.col("schema").alias("package_name"), F.col("table").alias("type_name"), F.col("column").alias("field_name"), F.lit("field_column").alias("node_type"))
-    nodes = tables.unionByName(fields).withColumn("id", F.xxhash64("file_path", "type_name", "field_name"))
-    where = lambda t, c: F.xxhash64(F.concat(F.lit("sql://"), "schema"), t, c)
-    edges = foreign_keys.select(where("table", "column").alias("from_ast_id"), where("to_table", "to_column").alias("_to"), F.lit("foreign_key").alias("relationship_type"))
+
+    def made(rows: DataFrame, kind: Any, type_name: Any = none, method: Any = none, field: Any = none) -> DataFrame:
+        return rows.select(F.concat(F.lit("sql://"), "schema").alias("file_path"), F.col("schema").alias("package_name"), type_name.alias("type_name"), method.alias("method_name"), field.alias("field_name"), kind.alias("node_type"))
+
+    tables = made(columns.select("schema", "table", "kind").distinct(), F.concat(F.lit("type_"), "kind"), F.col("table"))
+    nodes = tables.unionByName(made(columns, F.lit("field_column"), F.col("table"), field=F.col("column")))
+    if enums is not None:
+        nodes = nodes.unionByName(made(enums.select("schema", "enum").distinct(), F.lit("type"), F.col("enum"))).unionByName(made(enums, F.lit("field"), F.col("enum"), field=F.col("value")))
+    if indexes is not None:
+        nodes = nodes.unionByName(made(indexes, F.lit("method"), F.col("table"), F.col("index")))
+    if procedures is not None:
+        nodes = nodes.unionByName(made(procedures, F.lit("method"), method=F.col("name")))
+    key = lambda t, m, f: F.xxhash64(F.concat(F.lit("sql://"), "schema"), t, m, f)
+    owned = (F.col("type_name") != "") & ((F.col("method_name") != "") | (F.col("field_name") != ""))
+    nodes = nodes.withColumn("id", F.xxhash64("file_path", "type_name", "method_name", "field_name")).withColumn("parent_id", F.when(owned, F.xxhash64("file_path", "type_name", none, none)))
+    edges = foreign_keys.select(key(F.col("table"), none, F.col("column")).alias("from_ast_id"), key(F.col("to_table"), none, F.col("to_column")).alias("_to"), F.lit("foreign_key").alias("relationship_type"))
     known = nodes.select(F.col("id").alias("_to"), F.col("id").alias("to_ast_id"))
     return nodes, edges.join(known, "_to", "left").drop("_to")
