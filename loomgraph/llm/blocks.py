@@ -50,9 +50,9 @@ def count_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 
 def into_blocks(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text, block: hash-partitioned by block. docs should be read from storage, where a row's
+    """doc_id, text, block: a partition for each block. docs should be read from storage, where a row's
     place is the same whenever a task is repeated."""
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("block")).repartition(n, "block")
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("block")).repartitionById(n, F.col("block"))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -103,6 +103,7 @@ class Level(NamedTuple):
     group: int  # children that a node serves
     parts: int  # ranges that a child sends to
     paths: int  # ranges of a child's own level
+    nodes: int  # nodes of the level
 
 
 def levels(n: int, fanout: int = FANOUT) -> list[Level]:
@@ -112,7 +113,7 @@ def levels(n: int, fanout: int = FANOUT) -> list[Level]:
         depth += 1
     group = next(g for g in range(1, n + 1) if g**depth >= n)
     parts = [group] * (depth - 1) + [max(1, group // 2)]
-    return [Level(group, p, math.prod(parts[:i])) for i, p in enumerate(parts)]
+    return [Level(group, p, math.prod(parts[:i]), -(-n // group ** (i + 1)) * math.prod(parts[: i + 1])) for i, p in enumerate(parts)]
 
 
 def entries(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,15 +129,16 @@ def entries(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: What a child (a block, or a node by its group and path) sends to a node: packed keys and counts of
 #: each kind, and how many texts it stands for; and what it gets back.
-SENT = pa.schema({"to_group": pa.int64(), "to_path": pa.int64(), "group": pa.int64(), "path": pa.int64(), "texts": pa.int64(), **{f"{k}_{x}": pa.binary() for k in ("word", "pair") for x in ("keys", "counts")}})
-GOT = pa.schema({"group": pa.int64(), "path": pa.int64(), "part": pa.int64(), "texts": pa.int64(), "tokens": pa.int64(), "kinds": pa.int64(), "word_counts": pa.binary(), "pair_counts": pa.binary()})
+SENT = pa.schema({"node": pa.int32(), "to_group": pa.int64(), "to_path": pa.int64(), "child": pa.int32(), "group": pa.int64(), "path": pa.int64(), "texts": pa.int64(), **{f"{k}_{x}": pa.binary() for k in ("word", "pair") for x in ("keys", "counts")}})
+GOT = pa.schema({"child": pa.int32(), "part": pa.int64(), "texts": pa.int64(), "tokens": pa.int64(), "kinds": pa.int64(), "word_counts": pa.binary(), "pair_counts": pa.binary()})
 KINDS = ("word", "pair")
 
 
 def sent_rows(level: Level, group: int, path: int, texts: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[dict[str, object]]:
     at = [cuts(keys, level.parts, path, level.paths) for keys, _ in held]
     for p in range(level.parts):
-        row: dict[str, object] = {"to_group": group // level.group, "to_path": path * level.parts + p, "group": group, "path": path, "texts": texts}
+        to_group, to_path = group // level.group, path * level.parts + p
+        row: dict[str, object] = {"node": to_group * level.paths * level.parts + to_path, "to_group": to_group, "to_path": to_path, "child": group * level.paths + path, "group": group, "path": path, "texts": texts}
         for kind, (keys, counts), cut in zip(KINDS, held, at):
             row |= {f"{kind}_keys": pack_sorted(keys[cut[p] : cut[p + 1]]), f"{kind}_counts": pack(counts[cut[p] : cut[p + 1]])}
         yield row
@@ -162,7 +164,7 @@ class Node:
         n = self.rows.num_rows
         counts = {f"{kind}_counts": [pack(total[p]) for p in places] for kind, total, places in zip(KINDS, totals, self.places)}
         part = [self.path % parts] * n
-        return pa.table({"group": self.rows.column("group"), "path": self.rows.column("path"), "part": part, "texts": [texts] * n, "tokens": [tokens] * n, "kinds": [kinds] * n, **counts}, schema=GOT)
+        return pa.table({"child": self.rows.column("child"), "part": part, "texts": [texts] * n, "tokens": [tokens] * n, "kinds": [kinds] * n, **counts}, schema=GOT)
 
 
 class Totals(NamedTuple):
@@ -183,7 +185,7 @@ def read_answers(rows: pa.Table) -> Totals:
 def add_up(sent: DataFrame, steps: list[Level]) -> DataFrame:
     """Answers to the rows that the children of a level sent. steps: that level and those above."""
     level = steps[0]
-    to = sent.repartition("to_group", "to_path").groupBy("to_group", "to_path")
+    to = sent.repartitionById(level.nodes, F.col("node")).groupBy("node")
     if len(steps) == 1:
 
         def last(rows: pa.Table) -> pa.Table:
@@ -203,7 +205,7 @@ def add_up(sent: DataFrame, steps: list[Level]) -> DataFrame:
         return Node(rows).answer(got.texts, got.tokens, got.kinds, got.counts, level.parts)
 
     answers = add_up(to.applyInArrow(merge, ddl(SENT)), steps[1:])
-    return to.cogroup(answers.groupBy("group", "path")).applyInArrow(respond, ddl(GOT))
+    return to.cogroup(answers.repartitionById(level.nodes, F.col("child")).groupBy("child")).applyInArrow(respond, ddl(GOT))
 
 
 def exchange(blocks: DataFrame, n: int, send: Callable[[pa.Table], tuple[int, list[tuple[np.ndarray, np.ndarray]]]], finish: Callable[[pa.Table, Totals], dict[str, object]], out: str, fanout: int = FANOUT) -> DataFrame:
@@ -219,11 +221,14 @@ def exchange(blocks: DataFrame, n: int, send: Callable[[pa.Table], tuple[int, li
         return pa.table(finish(docs, read_answers(answers)), schema=schema)
 
     answers = add_up(blocks.groupBy("block").applyInArrow(first, ddl(SENT)), steps)
-    return blocks.groupBy("block").cogroup(answers.withColumn("block", F.col("group").cast("int")).groupBy("block")).applyInArrow(third, out)
+    return blocks.groupBy("block").cogroup(answers.repartitionById(n, F.col("child")).groupBy("child")).applyInArrow(third, out)
+
+
+DDL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
 
 
 def ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
+    return ", ".join(f"{f.name} {DDL[f.type]}" for f in schema)
 
 
 def arrow(schema: str) -> pa.Schema:
