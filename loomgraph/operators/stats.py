@@ -35,7 +35,8 @@ def islands(runs: DataFrame, *order: str) -> DataFrame:
     day = [*KEY, "day"]
     w = Window.partitionBy(*day).orderBy(*order)
     clean = F.coalesce(F.col("violation_count") == 0, F.lit(False))
-    marked = runs.withColumns({"day": F.to_date("executed_at"), "clean": clean})
+    seconds = dict(runs.dtypes)["executed_at"] in ("int", "bigint", "double")  # times may be numbers too
+    marked = runs.withColumns({"day": F.floor(F.col("executed_at") / 86_400) if seconds else F.to_date("executed_at"), "clean": clean})
     marked = marked.withColumn("change", F.coalesce(F.lag("clean").over(w) != F.col("clean"), F.lit(True)).cast("int"))
     local = marked.withColumn("local", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*day, "local", "clean").agg(F.count("*").alias("n"))
     v = Window.partitionBy(*KEY).orderBy("day")
