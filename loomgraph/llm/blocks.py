@@ -118,7 +118,7 @@ def levels(n: int, fanout: int = FANOUT) -> list[Level]:
 
 def entries(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes, ascending, and for each hash its place among them."""
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)  # the order of equal ones doesn't matter
     values = hashes[order]
     new = np.ones(len(values), bool)
     new[1:] = values[1:] != values[:-1]
