@@ -7,7 +7,9 @@ the vocabulary's byte strings. A null text encodes as the empty one; a special t
 the text becomes its id, as the tokenizers library has it by default. The short pre-tokens that a
 slice of texts brings anew are merged in step, each with its own list and queue, held as rows of
 arrays; long ones one by one with a heap. Results of pre-tokens are kept in a table of bounded
-size per worker; it only saves time.
+size per worker; it only saves time. Texts of any length are encoded whole, one slice of them at a time;
+repeated rows each give their row, an empty table none. No column but doc_id and text (ids, to decode) is
+read, so extra columns may have any name.
 """
 
 from __future__ import annotations

@@ -9,12 +9,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker holds as objects at once.
-STEP_BYTES = 4 << 20
+from loomgraph.functions.batches import STEP_BYTES, steps  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,7 +31,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "loomgraph-shared")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application has in the shared folder. Results are read from there when they are
+    used, so it is to be called once they are written or no longer needed."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -43,22 +51,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def steps(batch: pa.RecordBatch, column: str | None, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of a batch, each of about `limit` bytes of text and at least one row."""
-    if column is None or batch.num_rows < 2:
-        if batch.num_rows:
-            yield batch
-        return
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-    start = held = 0
-    for i, n in enumerate(sizes):
-        if i > start and held + n > limit:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    yield batch.slice(start)
-
-
 def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, Any]]], text: str = "text") -> DataFrame:
     """mapInArrow in bounded slices. `make` runs once per task and returns the function that turns
     a slice's columns (lists by name) into the output columns (lists or arrays by name)."""

@@ -17,7 +17,9 @@ all meetings are compared.
 
 Components come from stars of the least fingerprint (large-star and small-star steps), each step
 written to the shared folder. component_id is the least non-null doc_id. Repeated rows are
-documents like others.
+documents like others. A text of any length is hashed whole, STEP shingles at a time; an empty table
+gives no rows. No column but doc_id and text is read, so extra columns may have any name (keep_one hands
+them on).
 """
 
 from __future__ import annotations
