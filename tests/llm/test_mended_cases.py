@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from loomgraph.llm import blocks, bpe, decontam, lm, pii, quality_crf, quality_gbt, queries, substring_dedup, token_rollup, url_filter
-from loomgraph.llm.common import shared_dir
+from loomgraph.llm import blocks, bpe, decontam, lm, pii, quality_crf, quality_gbt, queries, simhash, substring_dedup, token_rollup, url_filter
+from loomgraph.llm.common import clean, materialize, shared_dir
 
 ADDRESSES = [".".join([*["1"] * k, digits, *["1"] * (3 - k)]) for k in range(4) for digits in ("0" * 5000, "0" * 5000 + "7", "9" * 5000)]
 
@@ -116,11 +116,25 @@ def test_a_shared_folder_is_needed_on_a_cluster():
         shared_dir(Fake, "x")
 
 
+def test_the_shared_folder_can_be_cleaned(spark):
+    import pathlib
+
+    kept = materialize(spark.range(3).toDF("n"), "kept")
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / f"loomgraph-{spark.sparkContext.applicationId}"
+    assert kept.count() == 3 and any(folder.iterdir())
+    clean(spark)
+    assert not folder.exists()
+
+
 def test_clashing_names_and_empty_tables(spark, docs, none):
     path = f"{queries.TOKENIZERS}/{queries.BPE_FILE}"
     odd = docs.withColumns({"held_out": docs.bits, "n_tokens": docs.bits, "ids": docs.bits, "x": docs.bits, "kept": docs.bits, "op": docs.bits, "version": docs.bits})
     for f in (lambda d: bpe.digests(d, path), lambda d: pii.find(d), lambda d: quality_crf.classify(d, None), lambda d: quality_gbt.judge(d, None), lambda d: substring_dedup.remove_duplicates(d)):
         assert f(odd).count() == docs.count() and f(none).count() == 0
+    for f in (simhash.keep_one, pii.redact, lambda d: quality_gbt.keep(d, None)):
+        assert f(odd).columns == odd.columns and f(none).count() == 0 and f(none).columns == none.columns
+    assert bpe.encode(odd, path).count() == docs.count() and bpe.decode(bpe.encode(none, path), path).count() == 0
+    assert simhash.near_duplicates(odd).count() == docs.count() and lm.score(odd).count() == docs.count()
     assert token_rollup.documents_history(odd, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() > 0
     assert os.path.exists(path)
 
