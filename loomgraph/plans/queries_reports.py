@@ -75,9 +75,8 @@ def _merged(t):
     return merged.join(known, "id", "left").select(*N.NATURAL_KEY, "start_line", F.coalesce("kept_id", F.lit(-1)).alias("kept_id"))
 
 
-query("t03_delete_file", "SELECT id FROM ast_relationships WHERE from_ast_id NOT IN (SELECT id FROM ast_nodes WHERE file_path = '/work/pkg1/x') AND coalesce(to_ast_id NOT IN (SELECT id FROM ast_nodes WHERE package_name = 'none'), true)")(lambda t: store.delete_file(t.ast_nodes, t.ast_relationships, "/work/pkg1/x")[1].select("id"))
 GONE = "(SELECT id FROM ast_nodes WHERE file_path = '/work/pkg1/economy_1.go')"
-query("t03_delete_existing_file", f"SELECT 'node' AS what, id FROM ast_nodes WHERE id NOT IN {GONE} UNION ALL SELECT 'edge', id FROM ast_relationships WHERE from_ast_id NOT IN {GONE} AND coalesce(to_ast_id NOT IN {GONE}, true) UNION ALL SELECT 'library edge', id FROM library_relationships WHERE ast_id NOT IN {GONE}")(lambda t: _without_file(t))
+query("t03_delete_file", f"SELECT 'node' AS what, id FROM ast_nodes WHERE id NOT IN {GONE} UNION ALL SELECT 'edge', id FROM ast_relationships WHERE from_ast_id NOT IN {GONE} AND coalesce(to_ast_id NOT IN {GONE}, true) UNION ALL SELECT 'library edge', id FROM library_relationships WHERE ast_id NOT IN {GONE}")(lambda t: _without_file(t))
 
 
 def _without_file(t):
@@ -178,10 +177,9 @@ query("g04_bfs_reachability", "WITH RECURSIVE l AS (SELECT DISTINCT from_ast_id
 query("g05_call_paths", "WITH RECURSIVE l AS (SELECT DISTINCT from_ast_id AS a, to_ast_id AS b FROM ast_relationships WHERE relationship_type = 'call' AND to_ast_id IS NOT NULL), w AS (SELECT [1::BIGINT] AS p, 0 AS depth, false AS circular UNION ALL SELECT list_append(p, b), depth + 1, list_contains(p, b) FROM w JOIN l ON a = p[-1] WHERE depth < 3 AND NOT circular) SELECT array_to_string(p, '>') AS path, depth, circular FROM w")(
     lambda t: graph.call_paths(t.ast_relationships, t.spark.range(1, 2), 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth", "circular")
 )
-query("g06_dot", f"{M} SELECT 0 AS part, id, concat('  n', id, ' [label=\"', {NAME}, '\"];') AS line FROM m UNION ALL SELECT 1, id, concat('  n', from_ast_id, ' -> n', to_ast_id, ';') FROM ({INDUCED}) x")(lambda t: graph.dot_lines(_m(t), t.ast_relationships))
 LIBRARY = "concat_ws('.', nullif(l.package, ''), nullif(l.class, ''), nullif(l.method, ''), nullif(l.field, ''))"
 USED = "FROM library_relationships r JOIN library_nodes l ON l.id = r.library_id WHERE r.ast_id IN (SELECT id FROM m)"
-query("g06_dot_libraries", f"""{M} SELECT 0 AS part, id, concat('  n', id, ' [label="', {NAME}, '"];') AS line FROM m UNION ALL SELECT 1, id, concat('  n', from_ast_id, ' -> n', to_ast_id, ';') FROM ({INDUCED}) x
+query("g06_dot", f"""{M} SELECT 0 AS part, id, concat('  n', id, ' [label="', {NAME}, '"];') AS line FROM m UNION ALL SELECT 1, id, concat('  n', from_ast_id, ' -> n', to_ast_id, ';') FROM ({INDUCED}) x
 UNION ALL SELECT 2, min(l.id), concat('  "lib_', {LIBRARY}, '" [label="', {LIBRARY}, '", style="filled,rounded", fillcolor=lightblue];') {USED} GROUP BY {LIBRARY} UNION ALL SELECT 3, r.id, concat('  n', r.ast_id, ' -> "lib_', {LIBRARY}, '";') {USED}""")(
     lambda t: graph.dot_lines(_m(t), t.ast_relationships, t.library_relationships, t.library_nodes)
 )
