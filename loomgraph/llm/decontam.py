@@ -7,7 +7,7 @@ agree are hits; around a hit the two texts are compared position by position, an
 counts if some OVERLAP tokens in a row (all of a shorter item) with the hit among them agree in all
 but MISMATCHES of their positions.
 
-A Bloom filter of the benchmark's hashes, of fixed size whatever the benchmark's, drops the
+A Bloom filter of the benchmark's hashes, of 8 MB at most whatever the benchmark's size, drops the
 documents' other positions before anything is shuffled; the equality join decides. Hits are
 compared as classes of equal surroundings, so a passage that many items or documents share costs one
 comparison. Null and empty texts, and items too short for every mask, have no hits; an empty table of
@@ -31,8 +31,8 @@ from loomgraph.llm.common import materialize
 MASKS = ("11010011", "111101", "1100010011")
 OVERLAP, MISMATCHES = 13, 3
 SPLIT = r"[^\p{L}\p{N}]+"
-#: 64-bit words of the Bloom filter: 2**17 of them are 1 MB.
-FILTER_WORDS = 1 << 17
+#: 64-bit words of the Bloom filter: one for each hash of the benchmark, from 2**17 (1 MB) to 2**20 (8 MB).
+LEAST_WORDS, MOST_WORDS = 1 << 17, 1 << 20
 SPAN = max(map(len, MASKS))
 REACH = OVERLAP - min(map(len, MASKS))
 
@@ -94,11 +94,18 @@ def bloom(hashes: DataFrame, words: int) -> DataFrame:
     return every.agg(F.transform(listed, lambda s: s["bits"]).alias("filter"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, words: int = FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
+def filter_words(benchmark: DataFrame) -> int:
+    """A power of two, about the number of hashes of the benchmark's tokens."""
+    n = benchmark.agg(F.sum(F.size(tokens(F.col("text"))))).first()[0] or 0
+    return min(MOST_WORDS, max(LEAST_WORDS, 1 << (len(MASKS) * n).bit_length()))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents' positions that pass the filter (doc_id, text_hash, mask, pos, h, lead, near) and the
     index of the benchmark (item_id, mask, ip, h, width, back, item). near and item hold the tokens
     around a position, as many as a comparison may need and lead or back of them before it, so no row
     grows with its text."""
+    words = words or filter_words(benchmark)
     listed = benchmark.select("item_id", tokens(F.col("text")).alias("toks"))
 
     def placed(toks: Column) -> Column:
@@ -152,7 +159,7 @@ def verified(met: DataFrame) -> DataFrame:
     return agree.withColumn("matched", F.array_max(sums)).where(F.col("matched") >= F.col("width") - MISMATCHES).drop("_before", "_ahead", "_agree")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, words: int | None = None) -> DataFrame:
     """doc_id, text_hash, item_id, n_hits, matched, position: verified overlaps by document and item.
     The hits are written out first, so that the texts are read once."""
     found, index = hits(docs, benchmark, words)
