@@ -5,7 +5,7 @@ hash of its ANCHOR-word phrases (ties: the leftmost), so equal windows have equa
 places. Windows in a row with one anchor form a run, and the words that a run's windows cover are its
 phrase: the unit that documents are parsed into and that the index holds.
 
-1. Every document is parsed into runs, one row for about fourteen words: anchor hash, phrase hash and place.
+1. Every document is parsed into runs, one row for about twelve words: anchor hash, phrase hash and place.
 2. The index adds up runs by anchor. A run whose anchor occurs once holds no repeated window. If all
    runs of an anchor have one phrase, all of their windows are repeated: a factor goes through here.
 3. Where an anchor has several phrases, factors begin or end within these. Their windows are checked
