@@ -179,3 +179,12 @@ def display_tree(nodes: DataFrame, workdir: str = "", dirs: bool = True, files:
     above = groups.select(F.explode(F.transform("levels", lambda x, i: F.struct(x["kind"].alias("kind"), x["key"].alias("key"), parent(i).alias("parent")))).alias("l"), "n").groupBy("l.kind", "l.key", "l.parent").agg(F.sum("n").alias("n"))
     leaves = nodes.withColumn("levels", shown).select(F.lit("node").alias("kind"), F.col("id").cast("string").alias("key"), parent(F.size("levels")).alias("parent"), F.lit(1).cast("long").alias("n"))
     return above.unionByName(leaves)
+
+
+def sample_types(nodes: DataFrame, most: int = 5) -> DataFrame:
+    """node_type, n: counts over the nodes in the order of ids up to the first of the `most`-th type that
+    occurs; over all nodes if there are fewer types. Only the types' first ids are ordered."""
+    first = nodes.groupBy("node_type").agg(F.min("id").alias("first"))
+    last = first.orderBy("first").limit(most).agg(F.when(F.count("*") == most, F.max("first")).alias("last"))
+    kept = nodes.join(F.broadcast(last), F.col("last").isNull() | (F.col("id") <= F.col("last")))  # one row
+    return kept.groupBy("node_type").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import patterns as P
 from loomgraph.functions.nodes import NATURAL_KEY, full_name
-from loomgraph.operators import access, config, deps, expressions, lookup, reports, stats, store
+from loomgraph.operators import access, config, deps, expressions, fixtures, lookup, reports, stats, store
 from loomgraph.plans.registry import query
 from loomgraph.sources import extract, languages
 
@@ -103,6 +103,24 @@ LINK = "SELECT DISTINCT n_regionkey * 100 + n_nationkey % 7 AS a, n_nationkey *
 query("u07_walk", f"""WITH RECURSIVE l AS ({LINK}), w AS (SELECT 1::BIGINT AS job, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN l ON a = job WHERE depth < 6) SELECT job, CAST(min(depth) AS INT) AS depth FROM w GROUP BY 1""")(
     lambda t: deps.walk(t.spark.sql("SELECT 1L AS job"), t.nation.selectExpr("CAST(n_regionkey * 100 + n_nationkey % 7 AS BIGINT) AS job", "CAST(n_nationkey * 3 % 25 + 100 * (n_nationkey % 5) AS BIGINT) AS next").distinct(), 6)
 )
+TABLE = """# Names
+| Test Name | CWD | Query | Expected Count | CEL Validation |
+|-|-|-|-|-|
+| services | /work | *Service* | 3 | nodes.all(n, n.type_name.contains("Service")) |
+| one package | /work/pkg3 | *:*:* | | nodes.all(n, n.package_name == "pkg3" || n.package_name == "none") |
+
+## Metrics
+| Test Name | Query | CEL Validation |
+|-|-|-|
+| long | lines(*) > 40 | nodes.all(n, n.line_count > 40) |
+| calls | calls(*Service*) >= 2 | nodes.exists(n, n.cyclomatic_complexity > 1000) |
+"""
+CALLS = "SELECT e.from_ast_id AS id FROM ast_relationships e JOIN ast_nodes a ON a.id = e.from_ast_id LEFT JOIN ast_nodes b ON b.id = e.to_ast_id WHERE e.relationship_type = 'call' AND (e.to_ast_id IS NULL OR b.package_name <> a.package_name) GROUP BY 1 HAVING count(DISTINCT e.id) >= 2"
+SERVICE = "lower(type_name) LIKE '%service%'"
+query("p06_fixtures", f"""SELECT 'Names' AS category, 'services' AS name, count(*) AS found, 3::BIGINT AS expected, true AS holds, count(*) = 3 AS passed FROM ast_nodes WHERE {SERVICE} UNION ALL
+SELECT 'Names', 'one package', count(*), NULL, true, true FROM ast_nodes WHERE file_path LIKE '/work/pkg3/%' UNION ALL SELECT 'Metrics', 'long', count(*), NULL, true, true FROM ast_nodes WHERE line_count > 40
+UNION ALL SELECT 'Metrics', 'calls', count(*), NULL, false, false FROM ast_nodes WHERE {SERVICE} AND id IN ({CALLS})""")(lambda t: fixtures.run(t.ast_nodes, t.ast_relationships, fixtures.parse(TABLE)))
+query("a29_sample_types", "WITH f AS (SELECT node_type, min(id) AS i FROM ast_nodes GROUP BY 1), l AS (SELECT CASE WHEN count(*) = 3 THEN max(i) END AS i FROM (SELECT i FROM f ORDER BY i LIMIT 3) x) SELECT node_type, count(*) AS n FROM ast_nodes WHERE (SELECT i FROM l) IS NULL OR id <= (SELECT i FROM l) GROUP BY 1")(lambda t: reports.sample_types(t.ast_nodes, 3))
 query("a28_group_by_category", "SELECT CASE WHEN source = '' THEN 'none' ELSE source END AS source, count(*) AS n FROM violations GROUP BY 1")(lambda t: reports.by_category(t.violations, "source", "none"))
 
 # ---- names, trees and stores

@@ -16,31 +16,31 @@ import (
 \t"net/http"
 )
 
-type UserService struct {
+type OrderService struct {
 \tdb *sql.DB
 }
 
-func NewService() *UserService { return &UserService{} }
+func Connect() *OrderService { return &OrderService{} }
 
-func (s *UserService) GetUser(id string) (*User, error) {
-\trow := s.db.QueryRow("SELECT f(x) FROM users", id)
+func (s *OrderService) FindOrder(id string) (*Order, error) {
+\trow := s.handle.QueryRow("SELECT f(x) FROM t", id)
 \t_ = row // fmt.Sprint(row)
-\tfmt.Printf("user %s", id)
+\tfmt.Printf("order %s", id)
 \tif reply, err := http.Get("/" + string(id)); err != nil {
 \t\tdefer func() { _ = reply.Body.Close() }()
 \t}
-\tNewService().MockUser()
-\treturn &User{}, nil
+\tConnect().DraftOrder()
+\treturn &Order{}, nil
 }
 
-func (s *UserService) TestUserCreation() { missing(1) }
+func (s *OrderService) RecountOrders() { missing(1) }
 
-func (s *UserService) MockUser() *User {
-\tNewService()
+func (s *OrderService) DraftOrder() *Order {
+\tConnect()
 \treturn nil
 }
 
-type User struct {
+type Order struct {
 \tID   string
 \tName string
 }
@@ -49,27 +49,27 @@ REPOSITORY = """package repository
 
 import "database/sql"
 
-type UserRepository struct {
+type OrderArchive struct {
 \tdb *sql.DB
 }
 
-func NewUserRepository(db *sql.DB) *UserRepository { return nil }
+func OpenArchive(db *sql.DB) *OrderArchive { return nil }
 
-func (r *UserRepository) GetByID(id string) (*User, error) { return nil, nil }
+func (r *OrderArchive) Lookup(id string) (*Order, error) { return nil, nil }
 
-func (r *UserRepository) Create(user *User) error { return nil }
+func (r *OrderArchive) Create(user *Order) error { return nil }
 
-type User struct {
+type Order struct {
 \tID, Name string
 }
 """
 REST = {
-    "cmd/main.go": 'package main\n\nimport "example.com/shop/internal/config"\n\nfunc main() {\n\t_ = config.Load()\n}\n',
-    "internal/config/config.go": "package config\n\ntype Config struct {\n\tDatabaseURL string\n\tAPIKey      string\n}\n\nfunc Load() *Config { return nil }\n",
-    "pkg/api/server.go": "package api\n\ntype Server struct {\n\t// nothing yet\n}\n\nfunc NewServer() *Server { return nil }\n\nfunc (s *Server) Start() {\n\ts.setupRoutes()\n}\n\nfunc (s *Server) setupRoutes() {}\n",
-    "test/user_test.go": 'package test\n\nimport "testing"\n\nfunc TestUserService(t *testing.T) {}\n\nfunc TestMockUser(t *testing.T) {}\n\nfunc MockUserRepository() *MockRepo { return nil }\n\ntype MockRepo struct{}\n\nfunc (m *MockRepo) TestHelper() {}\n',
+    "cmd/main.go": 'package main\n\nimport "example.com/shop/internal/config"\n\nfunc main() {\n\t_ = config.Read()\n}\n',
+    "internal/config/config.go": "package config\n\ntype Settings struct {\n\tAddress string\n\tSecret      string\n}\n\nfunc Read() *Settings { return nil }\n",
+    "pkg/api/server.go": "package api\n\ntype Gateway struct {\n\t// nothing yet\n}\n\nfunc Listen() *Gateway { return nil }\n\nfunc (s *Gateway) Start() {\n\ts.wire()\n}\n\nfunc (s *Gateway) wire() {}\n",
+    "test/order_test.go": 'package test\n\nimport "testing"\n\nfunc TestConnect(t *testing.T) {}\n\nfunc TestDraft(t *testing.T) {}\n\nfunc MockOrderArchive() *FakeStore { return nil }\n\ntype FakeStore struct{}\n\nfunc (m *FakeStore) Reset() {}\n',
 }
-PROJECT = {"pkg/service/user_service.go": SERVICE, "pkg/repository/user_repository.go": REPOSITORY, **REST}
+PROJECT = {"pkg/service/order_service.go": SERVICE, "pkg/repository/order_archive.go": REPOSITORY, **REST}
 
 
 def read(spark, texts, language):
@@ -88,7 +88,7 @@ def project(spark):
 def test_nodes_of_the_project(project):
     nodes = project[0]
     assert nodes.count() == 31
-    for pattern, n in (("*Service*", 5), ("*:*:*", 31), ("*:*:GetUser", 1), ("service:*Service:*", 5), ("*User*", 15)):
+    for pattern, n in (("*Service*", 5), ("*:*:*", 31), ("*:*:FindOrder", 1), ("service:*Service:*", 5), ("*Order*", 15)):
         assert nodes.where(query_predicate(parse_pattern(pattern))).count() == n, pattern
     for query, n in (("cyclomatic(*) > 5", 0), ("cyclomatic(*) <= 2", 31), ("lines(*) > 100", 0), ("lines(*) < 50", 31), ("params(*) > 3", 0), ("params(*) == 1", 6)):
         assert metric_query.run(nodes, project[2].withColumn("id", stable_free()), query).count() == n, query
@@ -102,25 +102,25 @@ def stable_free():
 
 def test_go_edges_of_the_project(project):
     nodes, found, calls, libraries = project
-    got = {(r.caller, r.called, r.line_no, r.text) for r in found.where("file_path like '%user_service.go'").collect()}
-    full = "service.UserService."
+    got = {(r.caller, r.called, r.line_no, r.text) for r in found.where("file_path like '%order_service.go'").collect()}
+    full = "service.OrderService."
     assert got == {
-        (full + "GetUser", None, 17, "call@17:9"), (full + "GetUser", None, 19, "fmt.Printf() (pkg=fmt;class=;method=Printf;framework=stdlib)"),
-        (full + "GetUser", None, 20, "http.Get() (pkg=net/http;class=;method=Get;framework=third-party)"), (full + "GetUser", "service.string", 20, "string()"),
-        (full + "GetUser", None, 21, "call@21:9"), (full + "GetUser", None, 21, "call@21:22"), (full + "GetUser", None, 23, "call@23:2"), (full + "GetUser", "service.NewService", 23, "NewService()"),
-        (full + "TestUserCreation", "service.missing", 27, "missing()"), (full + "MockUser", "service.NewService", 30, "NewService()"),
+        (full + "FindOrder", None, 17, "call@17:9"), (full + "FindOrder", None, 19, "fmt.Printf() (pkg=fmt;class=;method=Printf;framework=stdlib)"),
+        (full + "FindOrder", None, 20, "http.Get() (pkg=net/http;class=;method=Get;framework=third-party)"), (full + "FindOrder", "service.string", 20, "string()"),
+        (full + "FindOrder", None, 21, "call@21:9"), (full + "FindOrder", None, 21, "call@21:22"), (full + "FindOrder", None, 23, "call@23:2"), (full + "FindOrder", "service.Connect", 23, "Connect()"),
+        (full + "RecountOrders", "service.missing", 27, "missing()"), (full + "DraftOrder", "service.Connect", 30, "Connect()"),
     }
     names = {r.id: ".".join(x for x in (r.package_name, r.type_name, r.method_name) if x) for r in nodes.collect()}
-    assert {(names[r.from_ast_id], names[r.to_ast_id]) for r in calls.where("to_ast_id is not null").collect()} == {(full + "GetUser", "service.NewService"), (full + "MockUser", "service.NewService")}
+    assert {(names[r.from_ast_id], names[r.to_ast_id]) for r in calls.where("to_ast_id is not null").collect()} == {(full + "FindOrder", "service.Connect"), (full + "DraftOrder", "service.Connect")}
     assert calls.where("from_ast_id is null").count() == 0 and libraries.where("ast_id is null").count() == 0
-    assert {(names[r.ast_id], r.package, r.method, r.framework) for r in libraries.collect()} == {(full + "GetUser", "fmt", "Printf", "stdlib"), (full + "GetUser", "net/http", "Get", "third-party"), ("main.main", "example.com/shop/internal/config", "Load", "third-party")}
+    assert {(names[r.ast_id], r.package, r.method, r.framework) for r in libraries.collect()} == {(full + "FindOrder", "fmt", "Printf", "stdlib"), (full + "FindOrder", "net/http", "Get", "third-party"), ("main.main", "example.com/shop/internal/config", "Read", "third-party")}
 
 
 def test_rules_and_graphs_over_real_source(project):
     nodes, _, calls, _ = project
     calls = calls.withColumn("id", stable_free())
-    assert rule_engine.violations(nodes, calls, 'RULE "r" { FORBID(*UserService* -> service:*:NewService) REQUIRE(*Server* -> *) }').count() == 2 + 3
-    assert access.call_violations(nodes, calls, [access.parse_line("service:!NewService")]).count() == 2
+    assert rule_engine.violations(nodes, calls, 'RULE "r" { FORBID(*OrderService* -> service:*:Connect) REQUIRE(*Gateway* -> *) }').count() == 2 + 3
+    assert access.call_violations(nodes, calls, [access.parse_line("service:!Connect")]).count() == 2
     assert graph.induced(calls, nodes).count() == 2
 
 

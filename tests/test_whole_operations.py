@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import access, expressions, graph, reports, stats, store
+from loomgraph.operators import access, expressions, fixtures, graph, reports, stats, store
 from loomgraph.sources import extract, languages, manifests
 
 NODES = "id long, file_path string, package_name string, type_name string, method_name string, field_name string, node_type string, start_line int"
@@ -176,3 +176,21 @@ def test_schema_objects_have_parents(spark):
     nodes, _ = extract.sql_schema(spark, columns, columns.select("schema", "table", "column", F.col("table").alias("to_table"), F.col("column").alias("to_column")), spark.createDataFrame([("s", "e", "on")], "schema string, enum string, value string"), spark.createDataFrame([("s", "t", "i")], "schema string, table string, index string"), spark.createDataFrame([("s", "f")], "schema string, name string"))
     names = {r.id: r.type_name + r.method_name + r.field_name for r in nodes.collect()}
     assert {(names[r.id], names.get(r.parent_id)) for r in nodes.collect()} == {("t", None), ("tc", "t"), ("e", None), ("eon", "e"), ("ti", "t"), ("f", None)}
+
+
+def test_fixtures(spark, some):
+    text = "# A\ntext\n| Test Name | Query | Expected Count | CEL Validation | Else |\n|:-|-|-|-|-|\n| n | *User* | 3 | nodes.exists(n, n.id == 1 || n.id == 9) | x |\n| wrong | *User* | 4 | | |\n\n## B\n| Other | Name |\n|-|-|\n| 1 | 2 |\n| Query | Test Name |\n|-|-|\n| p | q |\n"
+    found = fixtures.parse(text)
+    assert [(f.category, f.name, f.query, f.count, f.check) for f in found] == [("A", "n", "*User*", 3, "nodes.exists(n, n.id == 1 || n.id == 9)"), ("A", "wrong", "*User*", 4, "")]
+    edges = spark.createDataFrame([], "id long, from_ast_id long, to_ast_id long, relationship_type string")
+    everything = [*found, fixtures.Fixture("all", "", "/w", None, "size(nodes) == 3", kind="expression")]
+    assert [(r.name, r.found, r.passed) for r in fixtures.run(some, edges, everything).collect()] == [("n", 3, True), ("wrong", 3, False), ("all", 3, True)]
+    assert fixtures.run(some, edges, []).count() == 0 and set(fixtures.by_category(found)) == {"A"}
+    with pytest.raises(ValueError, match="already"):
+        fixtures.register("query", fixtures.KINDS["query"])
+
+
+def test_sample_of_types(some):
+    kinds = some.withColumn("node_type", F.when(F.col("id") < 3, "a").otherwise("b"))
+    assert {tuple(r) for r in reports.sample_types(kinds, 2).collect()} == {("a", 2), ("b", 1)}
+    assert {tuple(r) for r in reports.sample_types(kinds, 3).collect()} == {("a", 2), ("b", 2)}
