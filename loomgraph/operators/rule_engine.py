@@ -91,8 +91,13 @@ def _numbers(predicates: dict[int, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(p, F.lit(k)) for k, p in predicates.items()]))
 
 
-def _sources(statements: dict[int, Compiled]) -> Column:
-    return _numbers({k: s.source for k, s in statements.items()})
+def _marked(nodes: DataFrame, predicates: dict[int, Column], name: str) -> DataFrame:
+    """nodes that match some predicate, which reaches the scan, with the numbers of those that they match."""
+    return nodes.where(reduce(lambda a, b: a | b, predicates.values())).withColumn(name, _numbers(predicates))
+
+
+def _sources(nodes: DataFrame, statements: dict[int, Compiled], name: str) -> DataFrame:
+    return _marked(nodes, {k: s.source for k, s in statements.items()}, name)
 
 
 def _node_rows(found: DataFrame) -> DataFrame:
@@ -101,7 +106,7 @@ def _node_rows(found: DataFrame) -> DataFrame:
 
 
 def _nodes(nodes: DataFrame, statements: dict[int, Compiled]) -> DataFrame:
-    return _node_rows(nodes.select("file_path", "package_name", "start_line", full_name().alias("name"), F.explode(_sources(statements)).alias("k")))
+    return _node_rows(_sources(nodes, statements, "ks").select("file_path", "package_name", "start_line", full_name().alias("name"), F.explode("ks").alias("k")))
 
 
 def _require(nodes: DataFrame, statements: dict[int, Compiled]) -> DataFrame:
@@ -113,14 +118,14 @@ def _require(nodes: DataFrame, statements: dict[int, Compiled]) -> DataFrame:
 
 def _calls(nodes: DataFrame, edges: DataFrame, statements: dict[int, Compiled]) -> DataFrame:
     """Call edges with the numbers of the statements whose target they reach."""
-    reached = _numbers({k: s.target for k, s in statements.items() if s.target is not None})
-    to = nodes.select(F.col("id").alias("to_ast_id"), F.col("package_name").alias("to_package"), full_name().alias("to_name"), reached.alias("reached")).where(F.size("reached") > 0)
+    reached = _marked(nodes, {k: s.target for k, s in statements.items() if s.target is not None}, "reached")
+    to = reached.select(F.col("id").alias("to_ast_id"), F.col("package_name").alias("to_package"), full_name().alias("to_name"), "reached")
     return edges.where("relationship_type = 'call'").select("from_ast_id", "to_ast_id", "line_no").join(to, "to_ast_id")
 
 
 def _forbid_calls(nodes: DataFrame, edges: DataFrame, statements: dict[int, Compiled]) -> DataFrame:
     """One violation per call edge and statement, at the edge's line."""
-    source = nodes.select(F.col("id").alias("from_ast_id"), "file_path", "package_name", full_name().alias("from_name"), _sources(statements).alias("leaving")).where(F.size("leaving") > 0)
+    source = _sources(nodes, statements, "leaving").select(F.col("id").alias("from_ast_id"), "file_path", "package_name", full_name().alias("from_name"), "leaving")
     met = _calls(nodes, edges, statements).join(source, "from_ast_id").withColumn("k", F.explode(F.array_intersect("leaving", "reached")))
     name = F.concat("from_name", F.lit(" to "), "to_name")
     return met.select("k", name.alias("name"), "file_path", F.col("line_no").alias("line"), F.col("package_name").alias("caller_package"), F.col("to_package").alias("called_package"), F.col("line_no").alias("called_line"))
@@ -128,8 +133,8 @@ def _forbid_calls(nodes: DataFrame, edges: DataFrame, statements: dict[int, Comp
 
 def _require_calls(nodes: DataFrame, edges: DataFrame, statements: dict[int, Compiled]) -> DataFrame:
     """Sources without any call edge to a target, by statement."""
-    calling = _calls(nodes, edges, statements).select(F.col("from_ast_id").alias("id"), F.explode("reached").alias("k")).distinct()
-    source = nodes.select("id", "file_path", "package_name", "start_line", full_name().alias("name"), F.explode(_sources(statements)).alias("k"))
+    calling = _calls(nodes, edges, statements).select(F.col("from_ast_id").alias("id"), F.explode("reached").alias("k"))
+    source = _sources(nodes, statements, "ks").select("id", "file_path", "package_name", "start_line", full_name().alias("name"), F.explode("ks").alias("k"))
     return _node_rows(source.join(calling, ["id", "k"], "left_anti"))
 
 
