@@ -7,7 +7,8 @@ the vocabulary's byte strings. A null text encodes as the empty one; a special t
 the text becomes its id, as the tokenizers library has it by default. The short pre-tokens that a
 slice of texts brings anew are merged in step, each with its own list and queue, held as rows of
 arrays; long ones one by one with a heap. Results of pre-tokens are kept in a table of bounded
-size per worker; it only saves time. Texts of any length are encoded whole, one slice of them at a time;
+size per worker; it only saves time. encode() keeps them as packed integers and takes smaller slices
+than digests(), which needs no ids. Texts of any length are encoded whole, one slice of them at a time;
 repeated rows each give their row, an empty table none. No column but doc_id and text (ids, to decode) is
 read, so extra columns may have any name.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from functools import lru_cache
 from typing import Any
 
@@ -29,6 +31,9 @@ from loomgraph.llm.common import map_text
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens whose encoding a worker keeps, at least those of one slice.
 CACHE_SIZE = 400_000
+#: The same, and the bytes of text in a slice, where ids are returned: two workers share an executor with its heap.
+PACKED_CACHE_SIZE = 250_000
+PACKED_STEP_BYTES = 1 << 20
 #: Bytes of the pre-tokens that are merged in step; longer ones get a queue of their own.
 WIDTH = 48
 NONE = np.int32(2**31 - 1)
@@ -43,6 +48,8 @@ def byte_alphabet() -> list[str]:
 
 
 class Tokenizer:
+    cache_size = CACHE_SIZE
+
     def __init__(self, path: str) -> None:
         spec = json.load(open(path, encoding="utf-8"))
         vocab: dict[str, int] = spec["model"]["vocab"]
@@ -152,6 +159,9 @@ class Tokenizer:
             for start in range(0, len(part), 50_000):
                 block = part[start : start + 50_000]
                 found += zip([t for t, _ in block], self.merge_all([b for _, b in block], low + WIDTH // 4))
+        self.keep(found)
+
+    def keep(self, found: list[tuple[str, list[int]]]) -> None:
         strings = self.strings
         for text, ids in found:
             self.ids[text] = ",".join(map(str, ids))
@@ -162,7 +172,7 @@ class Tokenizer:
         split, special = self.split, self.special
         out = [split(t) if not any(s in t for s in special) else [p for part in self.cut(t) for p in ([part] if part in special else split(part))] for t in texts]
         new = set().union(*out) - self.ids.keys()
-        if len(self.ids) + len(new) > CACHE_SIZE:
+        if len(self.ids) + len(new) > self.cache_size:
             self.forget()
             new = set().union(*out) - self.ids.keys()
         self.learn(new)
@@ -179,11 +189,32 @@ class Tokenizer:
         return b"".join([self.strings[i] for i in ids]).decode("utf-8", "replace")
 
 
+class PackedTokenizer(Tokenizer):
+    """Keeps a pre-token's ids as 32-bit integers, without what they decode to, and fewer of them:
+    a worker that returns ids takes a fraction of the memory that lists of Python's integers take."""
+
+    cache_size = PACKED_CACHE_SIZE
+
+    def keep(self, found: list[tuple[str, list[int]]]) -> None:
+        self.ids.update((text, array("i", ids).tobytes()) for text, ids in found)
+
+    def forget(self) -> None:
+        self.ids = {s: array("i", [i]).tobytes() for s, i in self.special.items()}
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(map(self.ids.__getitem__, parts)), np.int32) for parts in self.pieces(texts)]
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+@lru_cache(maxsize=1)
+def load_packed(path: str) -> PackedTokenizer:
+    return PackedTokenizer(path)
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids and of the text decoded from them."""
 
@@ -210,16 +241,16 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     text decoded from the ids."""
 
     def make() -> Any:
-        tokenizer = load(path)
+        tokenizer = load_packed(path)
 
         def apply(columns: dict[str, list]) -> dict[str, Any]:
             ids = tokenizer.encode_batch([t or "" for t in columns["text"]])
-            digests = {"decoded_sha256": [hashlib.sha256(tokenizer.decode(i).encode()).hexdigest() for i in ids]} if decoded else {}
+            digests = {"decoded_sha256": [hashlib.sha256(tokenizer.decode(i.tolist()).encode()).hexdigest() for i in ids]} if decoded else {}
             return {"doc_id": columns["doc_id"], "n_tokens": list(map(len, ids)), "ids": ids} | digests
 
         return apply
 
-    return map_text(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids array<int>" + (", decoded_sha256 string" if decoded else ""), make)
+    return map_text(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids array<int>" + (", decoded_sha256 string" if decoded else ""), make, limit=PACKED_STEP_BYTES)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -51,8 +51,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, Any]]], text: str = "text") -> DataFrame:
-    """mapInArrow in bounded slices. `make` runs once per task and returns the function that turns
+def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, Any]]], text: str | None = "text", limit: int = STEP_BYTES) -> DataFrame:
+    """mapInArrow in slices of about `limit` bytes of text. `make` runs once per task and returns the function that turns
     a slice's columns (lists by name) into the output columns (lists or arrays by name)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -62,7 +62,7 @@ def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            for part in steps(batch, text):
+            for part in steps(batch, text, limit):
                 columns = apply({n: part.column(n).to_pylist() for n in part.schema.names})
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
 
