@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,13 +44,29 @@ def outdated(text: Column, fixed: bool = False) -> Column:
 
 
 def redundant(text: Column, name: Column) -> Column:
-    """A structural phrase, and over 0.8 of the words are longer than two bytes and part of the name."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    inside = F.size(F.filter(words, lambda w: F.lower(name).contains(w) & (F.octet_length(w) > 2)))
+    """A structural phrase, and over 0.8 of the words are longer than two bytes and part of the name. Words that
+    are whole words of the name are found by hash; only the other ones, each once, are searched for inside it."""
+    low, low_name = F.lower(text), F.coalesce(F.lower(name), F.lit(""))
+
+    def share(words: Column) -> Column:
+        return _once(F.filter(words, lambda w: F.octet_length(w) > 2), lambda long: _inside(long, low_name)) / F.greatest(F.size(words), F.lit(1))
+
     phrase = F.lit(False)
     for p in STRUCTURAL:
-        phrase = phrase | F.lower(text).contains(p)
-    return phrase & (inside / F.greatest(F.size(words), F.lit(1)) > 0.8)
+        phrase = phrase | low.contains(p)
+    return phrase & (_once(F.filter(F.split(low, r"\s+"), lambda w: w != ""), share) > 0.8)
+
+
+def _once(column: Column, f: Callable[[Column], Column]) -> Column:
+    """f(column), with the column evaluated once however often f names it."""
+    return F.transform(F.array(column), f)[0]
+
+
+def _inside(words: Column, name: Column) -> Column:
+    """How many of the words are part of the name, repeated ones counted each time."""
+    other = F.array_except(words, F.split(name, r"\s+"))
+    missing = _once(name, lambda n: F.filter(other, lambda w: ~n.contains(w)))
+    return F.size(words) - _once(missing, lambda m: F.when(F.size(m) == 0, 0).otherwise(F.size(F.filter(words, lambda w: F.array_contains(m, w)))))
 
 
 def missing_documentation(private: Column, lines: Column, parameters: Column, comments: Column) -> Column:
