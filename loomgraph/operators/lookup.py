@@ -77,18 +77,28 @@ def resolve_library(packages: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("package", F.when(exact, F.col("k.framework")).when(is_stdlib(F.col("package")), "stdlib").when(F.col("k.framework").isNotNull(), F.col("k.framework")).otherwise("unknown").alias("framework"))
 
 
+def endings(nodes: DataFrame) -> DataFrame:
+    """called, part, id, name: every full name under itself, and with part true under each ending after a dot."""
+    pieces = F.split("name", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, n, F.size(pieces)), "."))
+    named = nodes.select("id", full_name().alias("name")).where("name <> ''")
+    return named.select("id", "name", F.posexplode(tails).alias("pos", "called")).where("called <> ''").select("called", (F.col("pos") > 0).alias("part"), "id", "name")
+
+
+def join_called(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """asked with found's columns for its `called`; found has each name once. Rows without a name are spread, not sent to one task."""
+    nameless = F.coalesce(F.col("called"), F.lit("")) == ""
+    spread = asked.withColumn("_spread", F.when(nameless, F.pmod(F.hash(*asked.columns), F.lit(1024)) + 1).otherwise(0))
+    # not a constant, which would be no key of the join
+    return spread.join(found.withColumn("_spread", F.when(nameless, -1).otherwise(0)), ["called", "_spread"], "left").drop("_spread")
+
+
 def resolve_by_name(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     """asked with node_id: the node whose full name is `called`, else one whose full name ends in
-    `.called`, the least id of several, else null; null and empty names stay unresolved. The suffix
-    is an equality join on the last segment that only names left over by the first join enter."""
-    last = lambda c: F.element_at(F.split(c, r"\."), -1)
-    named = nodes.select("id", full_name().alias("name")).where("name <> ''").groupBy("name").agg(F.min("id").alias("node_id"))
-    names = asked.select("called").where("called <> ''").distinct()
-    exact = names.join(named, F.col("called") == F.col("name")).select("called", "node_id")
-    left = names.join(exact, "called", "left_anti").withColumn("segment", last(F.col("called")))
-    met = left.join(named.withColumn("segment", last(F.col("name"))), "segment").where(F.endswith("name", F.concat(F.lit("."), "called")))
-    found = exact.union(met.groupBy("called").agg(F.min("node_id").alias("node_id")))
-    return asked.join(found, "called", "left")
+    `.called`, the least id of several, else null; null and empty names stay unresolved. Nodes are laid
+    under each ending of their name, so it is one equality join, and both inputs are read once."""
+    exact = F.min(F.when(~F.col("part"), F.col("id")))
+    return join_called(asked, endings(nodes).groupBy("called").agg(F.coalesce(exact, F.min("id")).alias("node_id")))
 
 
 def parents(nodes: DataFrame, kinds: tuple[str, ...] = ("method", "field")) -> DataFrame:
@@ -100,7 +110,8 @@ def parents(nodes: DataFrame, kinds: tuple[str, ...] = ("method", "field")) -> D
 def references(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """id, file_path, line, what: where a name is used and defined, for renaming. The definition is the node
     of that full name, else one whose full name ends in `.name`, the least id of several."""
-    target = resolve_by_name(nodes.sparkSession.createDataFrame([(name,)], "called string"), nodes).where("node_id IS NOT NULL").select(F.col("node_id").alias("target"))
+    named = nodes.where((full_name() == name) | full_name().endswith("." + name))
+    target = resolve_by_name(nodes.sparkSession.createDataFrame([(name,)], "called string"), named).where("node_id IS NOT NULL").select(F.col("node_id").alias("target"))
     users = edges.join(target, F.col("to_ast_id") == F.col("target")).select(F.col("from_ast_id").alias("id"), F.col("line_no").alias("line"))
     used = users.join(nodes.select("id", "file_path"), "id").select("id", "file_path", "line", F.lit("reference").alias("what"))
     defined = nodes.join(target, F.col("id") == F.col("target")).select("id", "file_path", F.col("start_line").alias("line"), F.lit("definition").alias("what"))

@@ -90,7 +90,9 @@ def _files(t, language: str, ending: str, text: str):
         pieces = body.replace("{id}", "\0id\0").replace("{name}", "\0name\0").split("\0")
         made = F.concat(*[F.col("id").cast("string") if p == "id" else F.col("method_name") if p == "name" else F.lit(p) for p in pieces if p])
         parts.append(F.when(F.col("id") % divisor == 0, made).otherwise("") if divisor else made)
-    return t.ast_nodes.where("node_type = 'method'").select(F.concat(F.lit("src/m" if "/" in ending else "src/"), "id", F.lit(ending)).alias("file_path"), F.lit(language).alias("language"), F.concat(*parts).alias("text"))
+    # a node makes far more work than its bytes tell, so the few tasks that read the table hand the nodes on to all
+    methods = t.ast_nodes.where("node_type = 'method'").select("id", "method_name").repartition(t.spark.sparkContext.defaultParallelism * 4, "id")
+    return methods.select(F.concat(F.lit("src/m" if "/" in ending else "src/"), "id", F.lit(ending)).alias("file_path"), F.lit(language).alias("language"), F.concat(*parts).alias("text"))
 
 
 def _nodes(t, language: str, ending: str, text: str):
@@ -100,13 +102,10 @@ def _nodes(t, language: str, ending: str, text: str):
 def _edges(t, language: str, ending: str, text: str):
     """caller and target by full name, line, type and library of every edge."""
     files = _files(t, language, ending, text)
-    nodes = extract.extract(files).withColumn("id", stable_id())
-    own, libraries = edges.resolve(nodes, edges.find(files))
-    names = nodes.groupBy("id").agg(F.min(full_name()).alias("name"))
-    rows = own.select("from_ast_id", "to_ast_id", "line_no", "relationship_type", "text", F.lit("").alias("library"))
-    rows = rows.unionByName(libraries.select(F.col("ast_id").alias("from_ast_id"), F.lit(None).cast("long").alias("to_ast_id"), "line_no", "relationship_type", "text", F.concat_ws("|", "package", "method", "framework").alias("library")))
-    met = rows.join(names.select(F.col("id").alias("from_ast_id"), F.col("name").alias("caller")), "from_ast_id", "left").join(names.select(F.col("id").alias("to_ast_id"), F.col("name").alias("target")), "to_ast_id", "left")
-    return met.select("caller", "target", "line_no", "relationship_type", "text", "library")
+    placed = edges.place(extract.extract(files).withColumn("id", stable_id()), edges.find(files))
+    caller = F.when(F.col("from_ast_id").isNotNull(), F.col("caller"))
+    library = F.when(F.col("package").isNull(), "").otherwise(F.concat_ws("|", "package", "method", "framework"))
+    return placed.select(caller.alias("caller"), "target", "line_no", "relationship_type", "text", library.alias("library"))
 
 
 def _node_sql(ending: str, rows: list[tuple[str, ...]]) -> str:
