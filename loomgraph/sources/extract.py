@@ -2,7 +2,7 @@
 
 Python is parsed exactly, with its own grammar. Go, Java, JavaScript and TypeScript are scanned by
 their declarations and braces, which is approximate where strings or macros hide braces. Markdown
-is plain DataFrame work (see markdown). A file that can't be parsed has no nodes.
+is read line by line. A file that can't be parsed has no nodes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.batches import steps
@@ -235,19 +235,39 @@ def extract(texts: DataFrame) -> DataFrame:
     return texts.where(F.col("language").isin(*extractors)).select("file_path", "language", "text").mapInArrow(run, SCHEMA)
 
 
+MARKDOWN = "file_path string, heading string, node_type string, name string, start_line int"
+FENCE, HEADING = re.compile(r"\s*```(\w*)", re.A), re.compile(r"#{1,6}\s+(?=\S)", re.A)
+
+
+def markdown_nodes(path: str | None, text: str) -> Iterator[Node]:
+    heading, fenced = "", False
+    for at, raw in enumerate(text.split("\n"), 1):
+        if m := FENCE.match(raw):
+            fenced = not fenced
+            if fenced:
+                yield {"file_path": path, "heading": heading, "node_type": "method", "name": f"code_{m[1] or 'text'}_{at}", "start_line": at}
+        elif not fenced and (m := HEADING.match(raw)):
+            heading = raw[m.end() :].strip(" ")
+            yield {"file_path": path, "heading": heading, "node_type": "type", "name": heading, "start_line": at}
+
+
 def markdown(texts: DataFrame) -> DataFrame:
     """file_path, heading, node_type, name, start_line: headings as types, fenced blocks as methods
-    `code_<language>_<line>` below the heading before them. Lines of one file stay together."""
-    lines = texts.select("file_path", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", F.col("pos") + 1)
-    w = Window.partitionBy("file_path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fence = F.col("raw").rlike(r"^\s*```")
-    marked = lines.withColumn("fences", F.sum(fence.cast("int")).over(w)).withColumn("opens", fence & (F.col("fences") % 2 == 1))
-    title = F.when((F.col("fences") % 2 == 0) & ~fence & F.col("raw").rlike(r"^#{1,6}\s+\S"), F.trim(F.regexp_replace("raw", r"^#{1,6}\s+", "")))
-    named = marked.withColumn("title", title).withColumn("heading", F.coalesce(F.last("title", ignorenulls=True).over(w), F.lit("")))
-    language = F.coalesce(F.nullif(F.regexp_extract("raw", r"^\s*```(\w+)", 1), F.lit("")), F.lit("text"))
-    kept = named.where(F.col("opens") | F.col("title").isNotNull())
-    name = F.when(F.col("opens"), F.concat(F.lit("code_"), language, F.lit("_"), "line")).otherwise(F.col("title"))
-    return kept.select("file_path", "heading", F.when(F.col("opens"), "method").otherwise("type").alias("node_type"), name.alias("name"), F.col("line").alias("start_line"))
+    `code_<language>_<line>` below the heading before them. Each row is a text of its own, even if several
+    have one path."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    out = to_arrow_schema(_parse_datatype_string(MARKDOWN))
+
+    def run(batches: Any) -> Any:
+        for batch in batches:
+            for b in steps(batch, "text"):
+                paths, found = b.column("file_path").to_pylist(), b.column("text").to_pylist()
+                yield pa.RecordBatch.from_pylist([n for path, text in zip(paths, found) if text is not None for n in markdown_nodes(path, text)], schema=out)
+
+    return texts.select("file_path", "text").mapInArrow(run, MARKDOWN)
 
 
 def openapi(texts: DataFrame) -> DataFrame:
